@@ -1,0 +1 @@
+"""Empty on purpose: the inventory is batch only (no streams, watermarks or state)."""
