@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.functions.storage import attach_row
-
 
 def _pick(k: Column, part: dict[str, Column]) -> Column:
     """The value of 0-based rank ``k``, which lies in the bracket or is its direct neighbour."""
@@ -34,51 +32,68 @@ def _pick(k: Column, part: dict[str, Column]) -> Column:
     )
 
 
-def exact_quantiles(
+def quantiles_long(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = 50_000,
 ) -> DataFrame:
-    """One row per group with ``{column}_q{i}`` for each probability; null where a group has no value."""
+    """One row per group and column: ``column``, ``n`` and ``q0..`` (groups without a value give no row).
+
+    Columns are unpivoted first, so sketches and counts of different columns merge in different tasks.
+    """
     by, eps = list(by), 2.0 / accuracy
-    base = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    keys = [*by, "column"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    base = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").filter(F.col("x").isNotNull())
     for key in by:
         base = base.filter(F.col(key).isNotNull())
     ends = [e for p in probs for e in (max(0.0, p - eps), min(1.0, p + eps))]
-    sketch = base.groupBy(*by).agg(
-        *[F.percentile_approx(c, ends, accuracy).alias(f"__{c}_ends") for c in columns]
-    )
-    rows = base.join(sketch, by) if by else attach_row(base, sketch)
+    sketch = base.groupBy(*keys).agg(F.percentile_approx("x", ends, accuracy).alias("ends"))
+    # Without groups the sketch has one row per column; with groups Spark decides by its size.
+    rows = base.join(sketch if by else F.broadcast(sketch), keys)
 
-    aggs = [F.count(c).alias(f"__{c}_n") for c in columns]
-    for c in columns:
-        aggs.append(F.first(f"__{c}_ends", ignorenulls=True).alias(f"__{c}_ends"))
-        for i in range(len(probs)):
-            x, lo, hi = F.col(c), F.col(f"__{c}_ends")[2 * i], F.col(f"__{c}_ends")[2 * i + 1]
-            parts = {
-                "below": F.count(F.when(x < lo, 1)),
-                "at_lo": F.count(F.when(x == lo, 1)),
-                "at_hi": F.count(F.when(x == hi, 1)),
-                "under": F.max(F.when(x < lo, x)),
-                "above": F.min(F.when(x > hi, x)),
-                "mid": F.sort_array(F.collect_list(F.when((x > lo) & (x < hi), x))),
-            }
-            aggs += [agg.alias(f"__{c}_{part}{i}") for part, agg in parts.items()]
-    counted = rows.groupBy(*by).agg(*aggs)
+    x = F.col("x")
+    aggs = [F.count(F.lit(1)).alias("n"), F.first("ends").alias("ends")]
+    for i in range(len(probs)):
+        lo, hi = F.col("ends")[2 * i], F.col("ends")[2 * i + 1]
+        parts = {
+            "below": F.count(F.when(x < lo, 1)),
+            "at_lo": F.count(F.when(x == lo, 1)),
+            "at_hi": F.count(F.when(x == hi, 1)),
+            "under": F.max(F.when(x < lo, x)),
+            "above": F.min(F.when(x > hi, x)),
+            "mid": F.sort_array(F.collect_list(F.when((x > lo) & (x < hi), x))),
+        }
+        aggs += [agg.alias(f"{part}{i}") for part, agg in parts.items()]
+    counted = rows.groupBy(*keys).agg(*aggs)
 
     out = []
-    for c in columns:
-        n = F.col(f"__{c}_n")
-        for i, p in enumerate(probs):
-            pos = F.lit(float(p)) * (n - 1)
-            part = {name: F.col(f"__{c}_{name}{i}") for name in ("below", "at_lo", "at_hi", "under", "above", "mid")}
-            part["lo"], part["hi"] = F.col(f"__{c}_ends")[2 * i], F.col(f"__{c}_ends")[2 * i + 1]
-            low, high = _pick(F.floor(pos), part), _pick(F.ceil(pos), part)
-            value = low + (high - low) * (pos - F.floor(pos))
-            out.append(F.when(n > 0, value).alias(f"{c}_q{i}"))
-    return counted.select(*by, *out)
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        part = {name: F.col(f"{name}{i}") for name in ("below", "at_lo", "at_hi", "under", "above", "mid")}
+        part["lo"], part["hi"] = F.col("ends")[2 * i], F.col("ends")[2 * i + 1]
+        low, high = _pick(F.floor(pos), part), _pick(F.ceil(pos), part)
+        out.append((low + (high - low) * (pos - F.floor(pos))).alias(f"q{i}"))
+    return counted.select(*keys, "n", *out)
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = 50_000,
+) -> DataFrame:
+    """One row per group with ``{column}_q{i}`` for each probability; null where a group has no value."""
+    found = quantiles_long(df, columns, probs, by, accuracy)
+    wide = [
+        F.max(F.when(F.col("column") == c, F.col(f"q{i}"))).alias(f"{c}_q{i}")
+        for c in columns
+        for i in range(len(probs))
+    ]
+    return found.groupBy(*by).agg(*wide)
 
 
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), accuracy: int = 50_000) -> DataFrame:

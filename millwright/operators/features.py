@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from millwright.functions.chunks import (
-    CHUNK_HOURS, HOUR, leading_sum, over_chunks, running_totals, trailing_sum, with_neighbours,
+    CHUNK_HOURS, HOUR, block_lags, block_level, block_mean, block_std, leading_sum, over_chunks, rolling_blocks,
+    running_total_columns, running_totals, trailing_sum, with_neighbours,
 )
 from millwright.functions.columns import epoch_hour, safe_zscore, utilization_pct
 from millwright.operators.hourly import KEYS, aggregate_incidents, aggregate_maintenance
@@ -23,15 +24,19 @@ RUNNING = ["incident_count_1h", *TYPE_COLUMNS, "maintenance_count_1h"]
 
 # ---- column families -------------------------------------------------------------------------
 
-def memory_columns(w: WindowSpec, signals: Sequence[str] = SIGNALS) -> dict[str, Column]:
+SIGNAL_BLOCKS = {f"{p}_mean_1h": "moments" for p in SIGNALS}
+ALL_BLOCKS = {**SIGNAL_BLOCKS, PIECES: "sum", "incident_max_severity_1h": "max"}
+
+
+def memory_columns(signals: Sequence[str] = SIGNALS) -> dict[str, Column]:
+    """From the rolling blocks of the signals."""
     cols = {}
     for p in signals:
-        x = F.col(f"{p}_mean_1h")
+        x = f"{p}_mean_1h"
         for n in MEMORY_HOURS:
-            frame = w.rowsBetween(-(n - 1), 0)
-            cols[f"{p}_mean_{n}h"] = F.avg(x).over(frame)
-            cols[f"{p}_max_{n}h"] = F.max(x).over(frame)
-            cols[f"{p}_std_{n}h"] = F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0))
+            cols[f"{p}_mean_{n}h"] = block_mean(x, n)
+            cols[f"{p}_max_{n}h"] = F.col(f"__{x}_max{n}")
+            cols[f"{p}_std_{n}h"] = F.coalesce(block_std(x, n), F.lit(0.0))
     return cols
 
 
@@ -44,12 +49,11 @@ def trend_columns(w: WindowSpec, signals: Sequence[str] = SIGNALS) -> dict[str,
     return cols
 
 
-def rolling_zscore_columns(w: WindowSpec, signals: Sequence[str] = SIGNALS) -> dict[str, Column]:
-    frame = w.rowsBetween(-23, 0)
+def rolling_zscore_columns(signals: Sequence[str] = SIGNALS) -> dict[str, Column]:
     cols = {}
     for p in signals:
-        x = F.col(f"{p}_mean_1h")
-        cols[f"{p}_zscore_24h"] = safe_zscore(x, F.avg(x).over(frame), F.stddev_samp(x).over(frame))
+        x = f"{p}_mean_1h"
+        cols[f"{p}_zscore_24h"] = safe_zscore(F.col(x), block_mean(x, 24), block_std(x, 24))
     return cols
 
 
@@ -61,22 +65,25 @@ def machine_zscore_columns(signals: Sequence[str] = SIGNALS) -> dict[str, Column
 
 
 def incident_history_columns(w: WindowSpec) -> dict[str, Column]:
-    severity = F.max("incident_max_severity_1h").over(w.rowsBetween(-23, 0))
+    """From running totals; the severity maximum comes from its rolling block."""
     return {
         "incident_count_prev_24h": trailing_sum("incident_count_1h", 24, w),
-        "incident_max_severity_prev_24h": severity,
         "incident_count_prev_7d": trailing_sum("incident_count_1h", 168, w),
         **{f"{c}_count_prev_24h": trailing_sum(c, 24, w) for c in TYPE_COLUMNS},
     }
 
 
+def severity_column() -> dict[str, Column]:
+    return {"incident_max_severity_prev_24h": F.col("__incident_max_severity_1h_max24")}
+
+
 def maintenance_history_columns(w: WindowSpec) -> dict[str, Column]:
     return {"maintenance_count_prev_30d": trailing_sum("maintenance_count_1h", 720, w)}
 
 
-def production_columns(w: WindowSpec) -> dict[str, Column]:
+def production_columns() -> dict[str, Column]:
     return {
-        "pieces_produced_sum_24h": F.sum(PIECES).over(w.rowsBetween(-23, 0)),
+        "pieces_produced_sum_24h": F.col(f"__{PIECES}_sum24"),
         "capacity_utilization_pct": utilization_pct(F.col(PIECES), F.col("max_hourly_capacity_pieces")),
     }
 
@@ -111,6 +118,11 @@ def train_baseline(df: DataFrame, signals: Sequence[str] = SIGNALS) -> DataFrame
 
 # ---- one family at a time, on a complete hourly grid --------------------------------------------
 
+def _over(df: DataFrame, build, names: Sequence[str], back: int = 0, ahead: int = 0, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Run a family and keep the input columns plus the named ones."""
+    done = over_chunks(df, build, back=back, ahead=ahead, chunk_hours=chunk_hours)
+    return done.select(*df.columns, *names)
+
 
 def add_machine_reference(df: DataFrame, machines: DataFrame) -> DataFrame:
     """Left join of the machine attributes; machines without a reference row keep nulls.
@@ -123,7 +135,7 @@ def add_machine_reference(df: DataFrame, machines: DataFrame) -> DataFrame:
 def hours_since_last_event(df: DataFrame, count: str, name: str, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """Hours since the last row with ``count > 0``: 0 in an event hour, null before the first event."""
     marked = df.withColumns({HOUR: epoch_hour(F.col("window_start")), "__event": F.when(F.col(count) > 0, True)})
-    found = with_neighbours(marked, ["__event"], chunk_hours=chunk_hours)
+    found = with_neighbours(marked, {"__event": ["__event"]}, ["__event"], chunk_hours=chunk_hours)
     since = (F.col(HOUR) - F.col("__event__prev")["h"]).cast("double")
     return found.withColumn(name, since).select(*df.columns, name)
 
@@ -132,12 +144,16 @@ def add_incident_context(df: DataFrame, incidents: DataFrame, chunk_hours: int =
     joined = df.join(aggregate_incidents(incidents), KEYS, "left").fillna(0, INCIDENT_FILLS)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return running_totals(rows, INCIDENT_FILLS[:1] + TYPE_COLUMNS, w).withColumns(incident_history_columns(w))
-
-    done = over_chunks(joined, build, back=167, chunk_hours=chunk_hours)
+        rows = running_totals(rows, ["incident_count_1h", *TYPE_COLUMNS], w).withColumns(incident_history_columns(w))
+        return rolling_blocks(rows, {"incident_max_severity_1h": "max"}, w).withColumns(severity_column())
+
+    names = [
+        "incident_count_prev_24h", "incident_max_severity_prev_24h", "incident_count_prev_7d",
+        *[f"{c}_count_prev_24h" for c in TYPE_COLUMNS],
+    ]
+    done = _over(joined, build, names, back=167, chunk_hours=chunk_hours)
     done = hours_since_last_event(done, "incident_count_1h", "hours_since_last_incident", chunk_hours)
-    done = done.fillna(-1.0, ["hours_since_last_incident"])
-    return done.drop(*[f"__run_{c}" for c in RUNNING])
+    return done.fillna(-1.0, ["hours_since_last_incident"])
 
 
 def add_maintenance_context(df: DataFrame, maintenance: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
@@ -146,33 +162,39 @@ def add_maintenance_context(df: DataFrame, maintenance: DataFrame, chunk_hours:
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return running_totals(rows, ["maintenance_count_1h"], w).withColumns(maintenance_history_columns(w))
 
-    done = over_chunks(joined, build, back=719, chunk_hours=chunk_hours)
+    done = _over(joined, build, ["maintenance_count_prev_30d"], back=719, chunk_hours=chunk_hours)
     done = hours_since_last_event(done, "maintenance_count_1h", "__hours", chunk_hours)
     days = F.coalesce(F.col("__hours") / 24.0, F.lit(-1.0))
-    return done.withColumn("days_since_last_maintenance", days).drop("__hours", "__run_maintenance_count_1h")
+    return done.withColumn("days_since_last_maintenance", days).drop("__hours")
 
 
 def add_memory_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
-    return over_chunks(df, lambda d, w: d.withColumns(memory_columns(w)), back=23, chunk_hours=chunk_hours)
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rolling_blocks(rows, SIGNAL_BLOCKS, w).withColumns(memory_columns())
+
+    return _over(df, build, list(memory_columns()), back=23, chunk_hours=chunk_hours)
 
 
 def add_trend_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
-    return over_chunks(df, lambda d, w: d.withColumns(trend_columns(w)), back=6, chunk_hours=chunk_hours)
+    names = [f"{p}_{n}" for p in SIGNALS for n in ("trend_6h", "delta_1h", "delta_3h")]
+    return _over(df, lambda d, w: d.withColumns(trend_columns(w)), names, back=6, chunk_hours=chunk_hours)
 
 
 def add_anomaly_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
-    with_baseline = df.join(train_baseline(df), "machine_id_std", "left")
-    done = over_chunks(
-        with_baseline,
-        lambda d, w: d.withColumns({**rolling_zscore_columns(w), **machine_zscore_columns()}),
-        back=23,
-        chunk_hours=chunk_hours,
-    )
-    return done.drop(*[f"{p}__train_{s}" for p in SIGNALS for s in ("mean", "std")])
+    baseline = df.join(train_baseline(df), "machine_id_std", "left")
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rolling_blocks(rows, SIGNAL_BLOCKS, w).withColumns({**rolling_zscore_columns(), **machine_zscore_columns()})
+
+    names = [f"{p}_{n}" for p in SIGNALS for n in ("zscore_24h", "zscore_machine")]
+    return _over(baseline, build, names, back=23, chunk_hours=chunk_hours).select(*df.columns, *names)
 
 
 def add_production_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
-    return over_chunks(df, lambda d, w: d.withColumns(production_columns(w)), back=23, chunk_hours=chunk_hours)
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rolling_blocks(rows, {PIECES: "sum"}, w).withColumns(production_columns())
+
+    return _over(df, build, list(production_columns()), back=23, chunk_hours=chunk_hours)
 
 
 def add_future_labels(
@@ -181,9 +203,8 @@ def add_future_labels(
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return running_totals(rows, ["incident_count_1h"], w).withColumns(label_columns(w, include_current, censored))
 
-    done = over_chunks(df, build, ahead=max(LABEL_HOURS), chunk_hours=chunk_hours)
-    end = F.col("window_start") + F.expr("INTERVAL '1' HOUR")
-    return done.withColumn("window_end", end).drop("__run_incident_count_1h")
+    done = _over(df, build, GOLD_LABELS, ahead=max(LABEL_HOURS), chunk_hours=chunk_hours)
+    return done.withColumn("window_end", F.col("window_start") + F.expr("INTERVAL '1' HOUR"))
 
 
 def order_gold_columns(gold: DataFrame) -> DataFrame:
@@ -193,19 +214,26 @@ def order_gold_columns(gold: DataFrame) -> DataFrame:
 
 
 def all_window_columns(rows: DataFrame, w: WindowSpec, include_current: bool, censored: bool) -> DataFrame:
-    """Every family over one window specification: one exchange and one sort."""
-    summed = running_totals(rows, RUNNING, w)
-    return summed.withColumns(
+    """Every family over one window specification: one exchange, one sort, four window passes."""
+    rows = rows.withColumns(
+        {**running_total_columns(RUNNING, w), **block_lags(ALL_BLOCKS, 1, w), **trend_columns(w)}
+    ).withColumns(block_level(ALL_BLOCKS, 1))
+    rows = rows.withColumns(
         {
+            **block_lags(ALL_BLOCKS, 3, w),
             **incident_history_columns(w),
             **maintenance_history_columns(w),
-            **memory_columns(w),
-            **trend_columns(w),
-            **rolling_zscore_columns(w),
-            **machine_zscore_columns(),
-            **production_columns(w),
             **label_columns(w, include_current, censored),
         }
+    ).withColumns(block_level(ALL_BLOCKS, 3))
+    for size in (6, 12):
+        rows = rows.withColumns(block_lags(ALL_BLOCKS, size, w)).withColumns(block_level(ALL_BLOCKS, size))
+    return rows.withColumns(
+        {
+            **memory_columns(),
+            **rolling_zscore_columns(),
+            **machine_zscore_columns(),
+            **production_columns(),
+            **severity_column(),
+        }
     )
-
-

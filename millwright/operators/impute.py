@@ -15,16 +15,17 @@ from millwright.functions.storage import attach_row
 from millwright.schemas import HOURLY_COLUMNS, PIECES
 
 
-def interpolated(column: str, hour: Column, fallback: Column, causal: bool = False) -> Column:
+def interpolated(column: str, hour: Column, fallback: Column, causal: bool = False, series: str | None = None) -> Column:
     """Linear between the surrounding values, nearest value beyond the ends, then the fallback.
 
-    ``causal`` uses past values only.
+    ``causal`` uses past values only; ``series`` names the neighbour series when it is not the column.
     """
-    before, after = F.col(f"{column}__prev"), F.col(f"{column}__next")
+    before = F.col(f"{series or column}__prev")
     if causal:
-        return F.coalesce(before["v"], fallback)
-    slope = (after["v"] - before["v"]) / (after["h"] - before["h"])
-    return F.coalesce(before["v"] + slope * (hour - before["h"]), before["v"], after["v"], fallback)
+        return F.coalesce(before[column], fallback)
+    after = F.col(f"{series or column}__next")
+    slope = (after[column] - before[column]) / (after["h"] - before["h"])
+    return F.coalesce(before[column] + slope * (hour - before["h"]), before[column], after[column], fallback)
 
 
 def train_medians(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
@@ -45,7 +46,8 @@ def impute_hourly_signals(
     Medians come from the observed training rows, before any filling.
     """
     fitted = train_medians(grid, columns, F.col("split_set") == "train")
-    rows = with_neighbours(grid.withColumn(HOUR, epoch_hour(F.col("window_start"))), columns, chunk_hours=chunk_hours)
+    keyed = grid.withColumn(HOUR, epoch_hour(F.col("window_start")))
+    rows = with_neighbours(keyed, {c: [c] for c in columns}, columns if causal else (), chunk_hours=chunk_hours)
     rows = attach_row(rows, fitted)
     filled = {}
     for c in columns:
@@ -107,7 +109,6 @@ def compare_strategies(grid: DataFrame, columns: Sequence[str], mask: Column, ch
     hidden = mask & train
     rows = grid.withColumn("__hidden", hidden).withColumn(HOUR, epoch_hour(F.col("window_start")))
     masked = rows.withColumns({c: F.when(~F.col("__hidden"), F.col(c)) for c in columns})
-    truth = masked.withColumns({f"{c}__true": F.lit(None).cast("double") for c in columns})
     truth = rows.withColumns(
         {
             **{f"{c}__true": F.when(F.col("__hidden"), F.col(c)) for c in columns},
@@ -115,7 +116,7 @@ def compare_strategies(grid: DataFrame, columns: Sequence[str], mask: Column, ch
         }
     )
     fitted = train_medians(masked, columns, train)
-    filled = attach_row(with_neighbours(truth, columns, chunk_hours=chunk_hours), fitted)
+    filled = attach_row(with_neighbours(truth, {c: [c] for c in columns}, chunk_hours=chunk_hours), fitted)
     errors = []
     for c in columns:
         between = interpolated(c, F.col(HOUR), F.col(f"{c}__median"))
