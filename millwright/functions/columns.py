@@ -58,7 +58,7 @@ def parse_time(text: Column) -> Column:
 
 
 def combine_date_time(date: Column, time: Column) -> Column:
-    return F.concat_ws(" ", date.cast("date").cast("string"), time).try_cast("timestamp_ntz")
+    return F.concat(date.cast("date").cast("string"), F.lit(" "), time).try_cast("timestamp_ntz")
 
 
 def offset_to_utc(text: Column) -> Column:

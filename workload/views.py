@@ -169,8 +169,9 @@ def with_views(select: str, *names: str) -> str:
     for name in names:
         visit(name)
     # Steps read more than once are computed once.
+    select = select if select.lstrip().startswith(",") else "\n" + select
     texts = [
         f"{n} AS {'MATERIALIZED ' if n in CHAIN else ''}({(VIEWS[n][1] if n in VIEWS else CHAIN[n]).replace('{TS}', 'TIMESTAMP')})"
         for n in wanted
     ]
-    return "WITH " + ",\n".join(texts) + "\n" + select
+    return "WITH " + ",\n".join(texts) + select
