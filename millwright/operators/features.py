@@ -13,6 +13,7 @@ from millwright.functions.chunks import (
     running_total_columns, running_totals, trailing_sum, with_neighbours,
 )
 from millwright.functions.columns import epoch_hour, safe_zscore, utilization_pct
+from millwright.functions.storage import materialize
 from millwright.operators.hourly import KEYS, aggregate_incidents, aggregate_maintenance
 from millwright.schemas import (
     GOLD_IDS, GOLD_LABELS, LABEL_HOURS, MEMORY_HOURS, PIECES, SIGNALS, TYPE_COLUMNS,
@@ -142,6 +143,7 @@ def hours_since_last_event(df: DataFrame, count: str, name: str, chunk_hours: in
 
 def add_incident_context(df: DataFrame, incidents: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     joined = df.join(aggregate_incidents(incidents), KEYS, "left").fillna(0, INCIDENT_FILLS)
+    joined = materialize(joined, "incident-hours")  # read by the carry over chunks and by the windows
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         rows = running_totals(rows, ["incident_count_1h", *TYPE_COLUMNS], w).withColumns(incident_history_columns(w))
@@ -151,21 +153,22 @@ def add_incident_context(df: DataFrame, incidents: DataFrame, chunk_hours: int =
         "incident_count_prev_24h", "incident_max_severity_prev_24h", "incident_count_prev_7d",
         *[f"{c}_count_prev_24h" for c in TYPE_COLUMNS],
     ]
-    done = _over(joined, build, names, back=167, chunk_hours=chunk_hours)
-    done = hours_since_last_event(done, "incident_count_1h", "hours_since_last_incident", chunk_hours)
-    return done.fillna(-1.0, ["hours_since_last_incident"])
+    since = hours_since_last_event(joined, "incident_count_1h", "hours_since_last_incident", chunk_hours)
+    since = since.fillna(-1.0, ["hours_since_last_incident"])
+    return _over(since, build, names, back=167, chunk_hours=chunk_hours)
 
 
 def add_maintenance_context(df: DataFrame, maintenance: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     joined = df.join(aggregate_maintenance(maintenance), KEYS, "left").fillna(0, ["maintenance_count_1h"])
+    joined = materialize(joined, "maintenance-hours")
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return running_totals(rows, ["maintenance_count_1h"], w).withColumns(maintenance_history_columns(w))
 
-    done = _over(joined, build, ["maintenance_count_prev_30d"], back=719, chunk_hours=chunk_hours)
-    done = hours_since_last_event(done, "maintenance_count_1h", "__hours", chunk_hours)
+    since = hours_since_last_event(joined, "maintenance_count_1h", "__hours", chunk_hours)
     days = F.coalesce(F.col("__hours") / 24.0, F.lit(-1.0))
-    return done.withColumn("days_since_last_maintenance", days).drop("__hours")
+    since = since.withColumn("days_since_last_maintenance", days).drop("__hours")
+    return _over(since, build, ["maintenance_count_prev_30d"], back=719, chunk_hours=chunk_hours)
 
 
 def add_memory_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
@@ -181,6 +184,7 @@ def add_trend_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFra
 
 
 def add_anomaly_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    df = materialize(df, "imputed-hours")  # read by the fit and by the windows
     baseline = df.join(train_baseline(df), "machine_id_std", "left")
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millwright.functions.chunks import CHUNK_HOURS, HOUR, with_neighbours
 from millwright.functions.columns import epoch_hour
 from millwright.functions.quantiles import medians
-from millwright.functions.storage import attach_row
+from millwright.functions.storage import attach_row, materialize
 from millwright.schemas import HOURLY_COLUMNS, PIECES
 
 
@@ -43,8 +43,10 @@ def impute_hourly_signals(
 ) -> DataFrame:
     """Interpolate each machine's gaps; a machine without any value takes the training median.
 
-    Medians come from the observed training rows, before any filling.
+    Medians come from the observed training rows, before any filling. The grid is read four times, so it
+    is written once first.
     """
+    grid = materialize(grid, "grid")
     fitted = train_medians(grid, columns, F.col("split_set") == "train")
     keyed = grid.withColumn(HOUR, epoch_hour(F.col("window_start")))
     rows = with_neighbours(keyed, {c: [c] for c in columns}, columns if causal else (), chunk_hours=chunk_hours)
@@ -107,7 +109,7 @@ def compare_strategies(grid: DataFrame, columns: Sequence[str], mask: Column, ch
     """
     train = F.col("split_set") == "train"
     hidden = mask & train
-    rows = grid.withColumn("__hidden", hidden).withColumn(HOUR, epoch_hour(F.col("window_start")))
+    rows = materialize(grid, "grid").withColumn("__hidden", hidden).withColumn(HOUR, epoch_hour(F.col("window_start")))
     masked = rows.withColumns({c: F.when(~F.col("__hidden"), F.col(c)) for c in columns})
     truth = rows.withColumns(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.quantiles import exact_quantiles, medians
-from millwright.functions.storage import attach_row
+from millwright.functions.storage import attach_row, materialize
 
 
 def _fitted(df: DataFrame, fit: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -57,7 +57,8 @@ def flag_robust_z(
 ) -> DataFrame:
     """``{c}_robust_z`` from median and MAD and its flag; with MAD 0 the score is null and
     ``{c}_mad_is_zero`` tells so."""
-    mid = medians(df, columns, by).select(*by, *[F.col(c).alias(f"__{c}_med") for c in columns])
+    # Written, because the deviations below and the final scores both build on it.
+    mid = materialize(medians(df, columns, by), "medians").select(*by, *[F.col(c).alias(f"__{c}_med") for c in columns])
     rows = _fitted(df, mid, by)
     spread = rows.select(*by, *[F.abs(F.col(c) - F.col(f"__{c}_med")).alias(c) for c in columns])
     mad = medians(spread, columns, by).select(*by, *[F.col(c).alias(f"__{c}_mad") for c in columns])
