@@ -140,3 +140,28 @@ def best_strategy(comparison: DataFrame) -> DataFrame:
         F.min_by("strategy", F.struct("mean_abs_error", "strategy")).alias("strategy"),
         F.min("mean_abs_error").alias("mean_abs_error"),
     )
+
+
+def impute_regression(df: DataFrame, columns: Sequence[str], train: Column | None = None, rounds: int = 3) -> DataFrame:
+    """Fill each column from the others by linear regression fitted on training rows, in ``rounds`` passes.
+
+    The first pass starts from training medians. Only rows where the target was observed are fitted on;
+    observed values are never changed. The fits are distributed; predictions are plain column arithmetic.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    seen = df.withColumns({f"{c}__seen": F.col(c).isNotNull() for c in columns})
+    work = apply_statistics(seen, fit_statistics(df, columns, "median", train), columns)
+    for _ in range(rounds):
+        for target in columns:
+            others = [c for c in columns if c != target]
+            work = materialize(work, "regression-round")
+            fit_rows = work.filter(F.col(f"{target}__seen"))
+            fit_rows = fit_rows if train is None else fit_rows.filter(train)
+            assembled = VectorAssembler(inputCols=others, outputCol="features").transform(fit_rows)
+            model = LinearRegression(featuresCol="features", labelCol=target, solver="normal").fit(assembled)
+            weights = zip(others, (float(w) for w in model.coefficients))
+            line = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights], F.lit(float(model.intercept)))
+            work = work.withColumn(target, F.when(F.col(f"{target}__seen"), F.col(target)).otherwise(line))
+    return work.select(*df.columns)

@@ -280,3 +280,25 @@ c AS (SELECT p, n, sum(p) OVER (ORDER BY x DESC) AS tp, sum(n) OVER (ORDER BY x
 SELECT {r('sum(n * (tp - p / 2.0E0)) / (CAST(sum(p) AS DOUBLE) * sum(n))', 'roc_auc')}, {r('sum(p * tp / (tp + fp)) / sum(p)', 'average_precision')} FROM c""")
 def ranking_metrics(spark, sf):
     return rounded(bl.ranking_metrics(_labelled(spark, sf), "toxic", "n_chars"))
+
+
+REGRESSION = """, m AS MATERIALIZED (SELECT quantile_cont(voltage_mean_v, 0.5) AS v FROM telemetry_v),
+s AS MATERIALIZED (SELECT row_seq, temperature_c AS y, coalesce(voltage_mean_v, (SELECT v FROM m)) AS x FROM telemetry_v),
+f AS MATERIALIZED (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE y IS NOT NULL)
+SELECT row_seq, """ + r("coalesce(y, a + b * x)", "temperature_c") + " FROM s, f"
+
+
+@query(with_views(REGRESSION, "telemetry_v"))
+def impute_regression(spark, sf):
+    done = im.impute_regression(_telemetry(spark, sf), ["temperature_c", "voltage_mean_v"], rounds=1)
+    return rounded(done.select("row_seq", "temperature_c"))
+
+
+@query(with_views("""SELECT incident_id, previous_id, levenshtein(comment, previous_text) AS text_distance FROM (
+SELECT *, lag(incident_id) OVER w AS previous_id, lag(incident_at) OVER w AS previous_at, lag(comment) OVER w AS previous_text FROM incidents_v
+WINDOW w AS (PARTITION BY machine_id_std ORDER BY incident_at, incident_id)) WHERE epoch_us(incident_at) - epoch_us(previous_at) <= 86400000000""", "incidents_v"))
+def near_duplicates_by_text(spark, sf):
+    from millwright.operators.near import near_in_time
+
+    found = near_in_time(view(spark, sf, "incidents_v"), ["machine_id_std"], "incident_at", "incident_id", 86_400, "comment")
+    return found.select("incident_id", "previous_id", F.col("text_distance").cast("long").alias("text_distance"))
