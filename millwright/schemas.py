@@ -70,6 +70,29 @@ GOLD_FEATURES = [
 ]
 GOLD_COLUMNS = [*GOLD_IDS, *GOLD_FEATURES, *GOLD_LABELS]
 
+
+
+def gold_struct(columns: list[str]) -> T.StructType:
+    """Types of the standard gold feature and label columns, by name."""
+    texts = ("model", "production_line", "location", "criticality")
+    wholes = ("incident_count", "maintenance_count", "future_incident_count", "type_")
+
+    def kind(name: str) -> T.DataType:
+        if name == "commissioning_date":
+            return T.DateType()
+        if name in texts:
+            return T.StringType()
+        if name.startswith("label_"):
+            return T.BooleanType()
+        if name.startswith(wholes):
+            return T.LongType()
+        if name.startswith(("max_", "incident_max_severity")):
+            return T.IntegerType()
+        return T.DoubleType()
+
+    return T.StructType([T.StructField(c, kind(c)) for c in columns])
+
+
 BRONZE_TELEMETRY = ["row_seq", "machine_id", "timestamp", *RAW_SIGNALS, "ingested_at"]
 BRONZE_INCIDENTS = [
     "incident_id", "date", "time", "operator_key", "machine_id", "severity", "comment", "shift",

@@ -72,6 +72,11 @@ def test_layers_from_files_to_gold(spark, files):
 
     reloaded = layers.load_gold(spark, root)
     assert reloaded.columns[:4] == GOLD_COLUMNS[:4] and reloaded.columns[-8:] == GOLD_COLUMNS[-8:]
+    sk.write_table(sk.pack_gold(layers.load_gold(spark, root)), root, "gold", "packed")
+    unpacked = layers.load_gold(spark, root, "packed")
+    assert dict(unpacked.dtypes) == dict(gold.dtypes)
+    order = ["machine_id_std", "window_start"]
+    assert unpacked.select(*GOLD_COLUMNS).orderBy(*order).collect() == gold.select(*GOLD_COLUMNS).orderBy(*order).collect()
     runs = layers.list_runs(spark, root).collect()
     assert [r["layer"] for r in runs if r["layer"] == "gold"] == ["gold"] and len(runs) == 3
     record = next(r for r in runs if r["layer"] == "gold")
