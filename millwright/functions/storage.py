@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Unset, a local master gets a temporary folder of its own; anywhere else executors would write to disks that
+    the others cannot read, so it raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="millwright-")
     return _own_dirs[app]
 
 
+def fresh_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing has used yet; ``release`` removes what lies there."""
+    path = f"{shared_dir(spark)}/millwright/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write once as parquet in the shared folder and read back.
 
@@ -29,11 +44,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     repeating the work above it, and a lost executor costs only its own tasks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millwright/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the intermediates this application has written; call it when no lazy result needs them any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate (exactly one row by construction) to every row."""
     return df.crossJoin(F.broadcast(one_row))
