@@ -7,6 +7,7 @@ Helpers for code inside ``mapInArrow``. A word is a run of characters other than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(code of each word, first word of each text and the end, distinct words by code)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
@@ -50,14 +51,14 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
         starts = np.concatenate(([0], np.cumsum(keep)))[starts]
         codes = codes[keep]
         codes -= codes > blank
-        distinct = pa.concat_arrays([distinct.slice(0, blank), distinct.slice(blank + 1)])
+        distinct = distinct.filter(pc.not_equal(distinct, pa.scalar("", distinct.type)))
     return codes, starts, distinct
 
 
 def hashes(strings: pa.Array, seed: int = 42) -> np.ndarray:
     """XXH64 of every string."""
-    of = xxhash.xxh64_intdigest
-    return np.fromiter((of(x, seed) for x in strings.cast(pa.large_binary()).to_pylist()), np.uint64, len(strings))
+    raw = strings.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh64_intdigest, raw, repeat(seed)), np.uint64, len(raw))
 
 
 def mix(values: np.ndarray) -> np.ndarray:
