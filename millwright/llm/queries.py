@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, lm_score, quality, sharding, simhash, token_count
+from millwright.llm import decontaminate, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "overlap", "answer_overlap")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring line templates dropped from every document; the text as its digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    left = line_dedup.drop_recurring_lines(docs)
+    return left.select("doc_id", "dropped_lines", lines.alias("n_lines_left"), F.md5("text").alias("text_md5"))
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in token-budget batches of optimal length buckets."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op1_packing"] = packing.ORACLE
