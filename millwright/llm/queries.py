@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
+from millwright.llm import decontaminate, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_packing"] = packing.ORACLE
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and signature rules over every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
