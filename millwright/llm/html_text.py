@@ -25,8 +25,8 @@ from millwright.llm.text import chunks, mix
 
 #: Pages the field is trained on, at most: those with the smallest hashes of their id.
 TRAIN_PAGES = 200
-ROUNDS = 120
-PENALTY = 2e-4
+ROUNDS = 250
+PENALTY = 5e-5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|([^<]+|<)", re.S
@@ -63,12 +63,17 @@ KINDS = {
 _KIND_OF = {}
 for _kind, _list in KINDS.items():
     for _name in _list.split():
-        _KIND_OF.setdefault(_name, []).append(f"name:{_kind}")
+        _KIND_OF.setdefault(_name, []).append(_kind)
 
+#: Kinds that tags speak for.
+TAG_KINDS = {
+    "article": "content", "main": "content", "nav": "menu", "header": "header", "footer": "footer", "aside": "side", "form": "form",
+    "dialog": "notice", "head": "header",
+}
 _SIZES = (1, 2, 4, 8, 16, 32, 64, 128)
 FEATURES = {
     name: k for k, name in enumerate([
-        "bias", *(f"in:{t}" for t in TAGS), *(f"at:{t}" for t in TAGS), *(f"name:{k}" for k in KINDS),
+        "bias", *(f"in:{t}" for t in TAGS), *(f"at:{t}" for t in TAGS), *(f"name:{k}" for k in KINDS), *(f"near:{k}" for k in KINDS),
         *(f"words:{n}" for n in _SIZES), *(f"links:{n}" for n in range(4)), *(f"commas:{n}" for n in range(3)),
         "stop", "copyright", "separators", "capitals", "digits", "first", "last", "early", "late",
     ])
@@ -80,7 +85,7 @@ class _Page:
 
     def __init__(self, source: str, keep_paths: bool = False):
         self.texts, self.features, self.paths = [], [], []
-        self.open: list[tuple[str, tuple, str]] = []
+        self.open: list[tuple[str, tuple, str, str]] = []
         self.run, self.linked, self.size = [], 0, 0
         self.silent, self.in_link, self.keep_paths = 0, 0, keep_paths
         for found in _TOKEN.finditer(source):
@@ -122,11 +127,16 @@ class _Page:
         self.in_link += tag == "a"
         above = self.open[-1][1] if self.open else ()
         own = [f"in:{tag}"] if f"in:{tag}" in FEATURES else []
-        for names in _NAMES.findall(attributes):
-            for word in _WORD.findall("".join(names).lower()):
-                own += _KIND_OF.get(word, ())
-        new = tuple(FEATURES[n] for n in own if FEATURES[n] not in above)
-        self.open.append((tag, above + new if new else above, attributes))
+        near, kinds = self.open[-1][3] if self.open else "", [TAG_KINDS[tag]] if tag in TAG_KINDS else []
+        if attributes:
+            for names in _NAMES.findall(attributes):
+                for word in _WORD.findall("".join(names).lower()):
+                    kinds += _KIND_OF.get(word, ())
+            own += [f"name:{k}" for k in kinds]
+        if kinds:  # the nearest section says most; one called content and something else is the latter
+            near = next((k for k in kinds if k != "content"), "content")
+        new = tuple(FEATURES[n] for n in dict.fromkeys(own) if FEATURES[n] not in above)
+        self.open.append((tag, above + new if new else above, attributes, near))
 
     def end(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
@@ -148,7 +158,8 @@ class _Page:
                 above = self.open[-1][1] if self.open else ()
                 block = next((o[0] for o in reversed(self.open) if o[0] not in INLINE), "html")
                 self.texts.append(text)
-                self.features.append((*dict.fromkeys(above), *self.shape(text, block)))
+                near = (FEATURES[f"near:{self.open[-1][3]}"],) if self.open and self.open[-1][3] else ()
+                self.features.append((*above, *near, *self.shape(text, block)))
                 if self.keep_paths:
                     self.paths.append([(o[0], o[2]) for o in self.open])
             self.run, self.linked, self.size = [], 0, 0
@@ -220,9 +231,6 @@ def _variants(source: str, number: int, foreign: list[str]):
     """The page as it is, and seen otherwise; the main text keeps a mark that the labels are read from."""
     pick = lambda choices, k: choices[int(mix(np.array([number * 31 + k], np.uint64))[0] % np.uint64(len(choices)))]
     yield source
-    marked = re.sub(r"<article\b([^>]*)>", r"<article\1><main>", source, flags=re.I)
-    marked = re.sub(r"</article\s*>", "</main></article>", marked, flags=re.I)
-
     def section(k):
         tag, attributes, block = pick(_FOREIGN, k)
         some = "".join(f"<{block}>{html.escape(pick(foreign, 100 * k + j))}</{block}>" for j in range(1 + k % 3))
@@ -231,6 +239,8 @@ def _variants(source: str, number: int, foreign: list[str]):
     if foreign:
         around = re.sub(r"(<article\b)", lambda m: section(1) + section(2) + m[1], source, count=1, flags=re.I)
         around = re.sub(r"(</article\s*>)", lambda m: section(3) + m[1] + section(4) + section(5), around, count=1, flags=re.I)
+        ends = iter(range(10, 10_000))  # one foreign section behind every third paragraph or so
+        around = re.sub(r"</p\s*>(?=<p>)", lambda m: m[0] + (section(k) if pick((0, 0, 1), k := next(ends)) else ""), around, flags=re.I)
         yield around
     else:
         around = source
@@ -243,6 +253,9 @@ def _variants(source: str, number: int, foreign: list[str]):
                 mark = ' data-part="article"' if kind == "article" else ""
                 seen = re.sub(rf"<{kind}\b[^>]*>", f"<{tag}{attributes}{mark}>", seen, flags=re.I)
                 seen = re.sub(rf"</{kind}\s*>", f"</{tag}>", seen, flags=re.I)
+        head, block = pick(("h1", "h2", "h3"), 7), pick(("p", "p", "div"), 8)
+        seen = re.sub(r"(</?)h1>", rf"\1{head}>", seen, flags=re.I)
+        seen = re.sub(r"<p>([^<]*)</p>", rf"<{block}>\1</{block}>", seen, flags=re.I)
         yield seen
 
 

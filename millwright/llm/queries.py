@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
+from millwright.llm import decontaminate, html_text, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,11 @@ ORACLES["op1_packing"] = packing.ORACLE
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and signature rules over every document."""
     return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    read = html_text.extract_main_text(pages.select("page_id", "url", "html"), html_text.train(pages), out="main_text")
+    return read.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
