@@ -1,9 +1,10 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token after its predecessor is a mixture of three estimates: the bigram's share of its context,
-the token's share of all tokens, and a uniform one. The mixture weights depend on how often the context was seen;
-they are learned by expectation-maximisation on counts deleted from the training part: every seventh text's bigrams
-are predicted from the counts of the other ones. Scores then use all training counts.
+The probability of a token after its two predecessors is a mixture of four estimates: the trigram's share of its
+context, the bigram's share of its own, the token's share of all tokens, and a uniform one. The mixture weights depend
+on how often the context was seen; they are learned by expectation-maximisation on counts deleted from the training
+part: the n-grams of one fold of texts are predicted from the counts of the other folds. Scores then use all training
+counts.
 
 Counting and looking up are exchanges of hashed n-grams. The corpus is written once as blocks of whole texts (word
 codes and word hashes). Every block sends its distinct n-grams, sorted and cut by hash range, to the ranges; a range
@@ -30,10 +31,11 @@ from millwright.llm.text import chunks, hashes, mix, pair, words
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BLOCK_TOKENS = 1_000_000
 RANGE_GRAMS = 1_500_000
-#: Context frequencies 0, 1, 2-3, 4-7, ... have their own mixture weights.
+#: Frequencies 1, 2-3, 4-7, ... of the context of two tokens have their own mixture weights; where it was never seen,
+#: those of the context of one token have.
 FREQUENCY_BUCKETS = 40
 #: Probabilities are binned to this part of a factor of two when the weights are learned.
-BINS = 8
+BINS = 4
 EM_ROUNDS = 60
 _END, _BEGIN = np.uint64(0x5EED0000000E0D01), np.uint64(0x5EED0000000B0600)
 _KINDS = {"other": 0, "deleted": 1, "held": 2}
@@ -91,7 +93,7 @@ def _blocks(docs: DataFrame, id_type: str, block_tokens: int) -> DataFrame:
 
 
 class _Grams:
-    """The n-grams of a block: tokens with the ends, beginnings, and bigrams. Odd hashes are tokens."""
+    """The n-grams of a block: tokens with the ends, beginnings, bigrams and trigrams. Odd hashes are tokens."""
 
     def __init__(self, lengths, vocab: bytes, codes: bytes):
         self.lengths = np.asarray(lengths, np.int64)
@@ -101,16 +103,26 @@ class _Grams:
         # every text: its words, then the end
         self.owner = np.repeat(np.arange(n), self.lengths + 1)
         last = ends + np.arange(n)
+        self.first = last - self.lengths
         is_word = np.ones(len(token) + n, bool)
         is_word[last] = False
-        self.token = np.full(len(token) + n, _END, np.uint64)
-        self.token[is_word] = token
-        self.context = np.empty_like(self.token)
-        self.context[1:] = self.token[:-1]
-        self.context[np.concatenate(([0], last[:-1] + 1)) if n else []] = _BEGIN
-        self.all = np.concatenate([self.token, np.full(n, _BEGIN, np.uint64), pair(self.context, self.token) & ~np.uint64(1)])
-        self.n = len(self.token)
-        self.distinct, self.at, self.count = np.unique(self.all, return_inverse=True, return_counts=True)
+        tokens = np.full(len(token) + n, _END, np.uint64)
+        tokens[is_word] = token
+        two = self._after(tokens, np.full(n, _BEGIN), tokens)
+        three = self._after(two, np.full(n, _BEGIN), tokens ^ _END)
+        self.n = len(tokens)
+        grams = np.concatenate([tokens, np.full(n, _BEGIN, np.uint64), two, three])
+        self.distinct, self.at, self.count = np.unique(grams, return_inverse=True, return_counts=True)
+
+    def _before(self, values, at_first):
+        """What stands one token earlier in the same text."""
+        result = np.empty_like(values)
+        result[1:] = values[:-1]
+        result[self.first] = at_first
+        return result
+
+    def _after(self, values, at_first, tokens):
+        return pair(self._before(values, at_first), tokens) & ~np.uint64(1)
 
     def cuts(self, ranges: int) -> np.ndarray:
         """Where each hash range begins among the distinct n-grams, and the end."""
@@ -119,12 +131,11 @@ class _Grams:
         return np.concatenate(([0], np.searchsorted(self.distinct, edges), [len(self.distinct)]))
 
     def by_token(self, counts: np.ndarray):
-        """Counts of each token, of its context and of the bigram."""
-        context_at = self.at[np.maximum(np.arange(self.n) - 1, 0)].copy()
-        context_at[np.concatenate(([0], np.cumsum(self.lengths + 1)[:-1])) if len(self.lengths) else []] = (
-            np.searchsorted(self.distinct, _BEGIN) if len(self.lengths) else 0
-        )
-        return counts[self.at[:self.n]], counts[context_at], counts[self.at[self.n + len(self.lengths):]]
+        """Counts of each token, its context, the bigram, the context of two tokens, and the trigram."""
+        n, texts = self.n, len(self.lengths)
+        token, two, three = counts[self.at[:n]], counts[self.at[n + texts:2 * n + texts]], counts[self.at[2 * n + texts:]]
+        begin = counts[self.at[n:n + texts]]
+        return token, self._before(token, begin), two, self._before(two, begin), three
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -194,68 +205,73 @@ def _answers(table: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([_unpacked(data[k], np.uint32) for k in order]).astype(np.int64)
 
 
-def _bucket(context_count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(np.log2(context_count + 1.0)), FREQUENCY_BUCKETS - 1).astype(np.int64)
+def _bucket(context: np.ndarray, context_two: np.ndarray) -> np.ndarray:
+    """Which mixture weights a token has, by how often its contexts were seen."""
+    size = lambda c: np.minimum(np.ceil(np.log2(c + 1.0)), FREQUENCY_BUCKETS - 1).astype(np.int64)
+    return np.where(context_two > 0, FREQUENCY_BUCKETS + size(context_two), size(context))
 
 
-def _shares(token, context, bigram, n_tokens):
-    """The bigram's and the token's maximum-likelihood probabilities."""
-    return np.where(context > 0, bigram / np.maximum(context, 1), 0.0), token / max(n_tokens, 1)
+def _shares(counts, n_tokens):
+    """The trigram's, the bigram's and the token's maximum-likelihood probabilities."""
+    token, context, two, context_two, three = counts
+    share = lambda part, whole: np.where(whole > 0, part / np.maximum(whole, 1), 0.0)
+    return share(three, context_two), share(two, context), token / max(n_tokens, 1)
 
 
-def _evidence(blocks: DataFrame, counted: DataFrame, kept_tokens: int) -> list:
-    """How many deleted tokens have each (context bucket, binned bigram share, binned token share)."""
+def _evidence(blocks: DataFrame, counted: DataFrame, kept_tokens: int) -> pa.Table:
+    """How many deleted tokens have each (bucket, binned trigram, bigram and token share)."""
+    names = ("bucket", "three", "two", "one")
 
     def binned(share):
         return np.where(share > 0, np.round(-BINS * np.log2(np.where(share > 0, share, 1))), -1).astype(np.int64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.to_pylist()
-        if not rows:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("bucket", "two", "one", "n")})
-        grams = _Grams(rows[0]["lengths"], rows[0]["vocab"], rows[0]["codes"])
-        kept = _answers(right, "total") - _answers(right, "deleted")
-        token, context, bigram = grams.by_token(kept)
-        two, one = _shares(token, context, bigram, kept_tokens)
-        found, n = np.unique(np.stack([_bucket(context), binned(two), binned(one)]), axis=1, return_counts=True)
-        return pa.table({"bucket": found[0], "two": found[1], "one": found[2], "n": n.astype(np.int64)})
+        row = left.to_pylist()[0]
+        grams = _Grams(row["lengths"], row["vocab"], row["codes"])
+        counts = grams.by_token(_answers(right, "total") - _answers(right, "deleted"))
+        columns = [_bucket(counts[1], counts[3]), *map(binned, _shares(counts, kept_tokens))]
+        found, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+        return pa.table({**dict(zip(names, found)), "n": n.astype(np.int64)})
 
     deleted = blocks.where(F.col("kind") == _KINDS["deleted"])
     answers = counted.where(F.length("deleted") > 0)
-    found = deleted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket long, two long, one long, n long")
-    return found.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()
+    found = deleted.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, ", ".join(f"{k} long" for k in (*names, "n"))
+    )
+    return found.groupBy(*names).agg(F.sum("n").alias("n")).toArrow()
 
 
-def mixture_weights(evidence, vocabulary: int) -> np.ndarray:
-    """(bucket, [bigram, token, uniform]) weights by expectation-maximisation.
+def mixture_weights(evidence: pa.Table, vocabulary: int) -> np.ndarray:
+    """(bucket, [trigram, bigram, token, uniform]) weights by expectation-maximisation.
 
-    A bucket without evidence shares the weights that all evidence together gives; without any, the uniform
-    estimate has all the weight.
+    A bucket without evidence has the weights that all evidence together gives, but none for an estimate whose context
+    it has not seen; without any evidence, the uniform estimate has all the weight.
     """
-    table = np.array([[r["bucket"], r["two"], r["one"], r["n"]] for r in evidence], np.int64).reshape(-1, 4)
-    bucket, n = table[:, 0], table[:, 3].astype(float)
-    share = np.stack([
-        *(np.where(table[:, k] >= 0, np.exp2(-table[:, k] / BINS), 0.0) for k in (1, 2)),
-        np.full(len(table), 1 / (vocabulary + 1)),
-    ], axis=1)
+    bucket, n = (evidence.column(k).to_numpy() for k in ("bucket", "n"))
+    binned = np.stack([evidence.column(k).to_numpy() for k in ("three", "two", "one")], axis=1).reshape(-1, 3)
+    share = np.concatenate(
+        [np.where(binned >= 0, np.exp2(-binned / BINS), 0.0), np.full((len(binned), 1), 1 / (vocabulary + 1))], axis=1
+    )
 
     def learned(share, n):
-        weights = np.full(3, 1 / 3)
+        weights = np.full(4, 1 / 4)
         for _ in range(EM_ROUNDS):
             part = share * weights
             part *= (n / part.sum(axis=1))[:, None]
             weights = part.sum(axis=0) / n.sum()
-        weights = np.maximum(weights, [0.0, 0.0, 1e-7])
-        return weights / weights.sum()
+        return weights
 
-    if not len(table):
-        return np.tile([0.0, 0.0, 1.0], (FREQUENCY_BUCKETS, 1))
-    result = np.tile(learned(share, n), (FREQUENCY_BUCKETS, 1))
-    for b in np.unique(bucket):
-        result[b] = learned(share[bucket == b], n[bucket == b])
-    result[0, 1:] /= result[0, 1:].sum()
-    result[0, 0] = 0.0
-    return result
+    if not len(n):
+        return np.tile([0.0, 0.0, 0.0, 1.0], (2 * FREQUENCY_BUCKETS, 1))
+    result = np.tile(learned(share, n), (2 * FREQUENCY_BUCKETS, 1))
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    for rows in np.split(order, edges):
+        result[bucket[rows[0]]] = learned(share[rows], n[rows])
+    result[:, 3] = np.maximum(result[:, 3], 1e-7)
+    result[:FREQUENCY_BUCKETS, 0] = 0.0
+    result[0, 1] = 0.0
+    return result / result.sum(axis=1, keepdims=True)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS,
@@ -276,7 +292,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     tokens = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x) + F.size("lengths")
     sums = {r["kind"]: r["n"] for r in blocks.groupBy("kind").agg(F.sum(tokens).alias("n")).collect()}
     train_tokens = sum(n for k, n in sums.items() if k != _KINDS["held"])
-    ranges = max(1, math.ceil(2 * sum(sums.values()) / range_grams))
+    ranges = max(1, math.ceil(3 * sum(sums.values()) / range_grams))
     counted = materialize(_counted(blocks, ranges), "lm-counts")
     vocabulary = counted.agg(F.sum("types")).first()[0] or 0
     evidence = _evidence(blocks, counted, sums.get(_KINDS["other"], 0))
@@ -285,10 +301,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         grams = _Grams(row["lengths"], row["vocab"], row["codes"])
-        token, context, bigram = grams.by_token(_answers(right, "total"))
-        two, one = _shares(token, context, bigram, train_tokens)
-        w = weights[_bucket(context)]
-        log = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] / (vocabulary + 1))
+        counts = grams.by_token(_answers(right, "total"))
+        w = weights[_bucket(counts[1], counts[3])]
+        log = np.log10(sum(w[:, k] * share for k, share in enumerate(_shares(counts, train_tokens))) + w[:, 3] / (vocabulary + 1))
+        token = counts[0]
         base = np.log10((token + 1) / (train_tokens + vocabulary + 1))
         n = len(grams.lengths)
         return pa.table({
