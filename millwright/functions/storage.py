@@ -49,9 +49,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the intermediates this application has written; call it when no lazy result needs them any more."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def written_so_far(spark: SparkSession) -> int:
+    """How many intermediates this application has written; a mark for ``release``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove the intermediates written after a mark, once no lazy result needs them any more."""
+    known = _written.get(spark.sparkContext.applicationId, [])
+    paths, known[since:] = known[since:], []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)

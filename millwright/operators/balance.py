@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from millwright.functions.storage import attach_row
 
+#: Copies of a row that one task makes of one input row.
+COPIES_AT_ONCE = 4096
+
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """Rows and share per class."""
@@ -29,24 +32,30 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).withColumnRenamed("weight", name), label)
+    """The weight of each row's class; rows without a label are a class of their own."""
+    weights = class_weights(df, label).select(F.col(label).alias("__label"), F.col("weight").alias(name))
+    return df.join(weights, F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, name)
 
 
 def hash_rank(df: DataFrame, label: str, key: str, seed: int, digits: int = 4) -> DataFrame:
-    """Add ``__rank`` (1-based, by md5 of seed and unique key) and ``__class_n`` per class."""
-    code = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """Add ``__rank`` (1-based, by md5 of seed and unique key) and ``__class_n`` per class.
+
+    Rows without a label are a class of their own; a null key is a key like any other.
+    """
+    code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     rows = df.withColumns({"__code": code, "__bucket": F.substring(code, 1, digits)})
     sizes = rows.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     # At most 16 ** digits rows per class.
     upto = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
     offsets = sizes.select(
-        label, "__bucket", F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__offset"),
+        F.col(label).alias("__label"), F.col("__bucket").alias("__part"), F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__offset"),
         F.sum("__size").over(whole).alias("__class_n"),
     )
     inside = Window.partitionBy(label, "__bucket").orderBy("__code", key)
-    ranked = rows.join(offsets, [label, "__bucket"]).withColumn("__rank", F.col("__offset") + F.row_number().over(inside))
-    return ranked.drop("__code", "__bucket", "__offset")
+    mine = F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__part"))
+    ranked = rows.join(offsets, mine).withColumn("__rank", F.col("__offset") + F.row_number().over(inside))
+    return ranked.drop("__code", "__bucket", "__offset", "__label", "__part")
 
 
 def _class_range(df: DataFrame, label: str) -> DataFrame:
@@ -63,12 +72,18 @@ def downsample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
 def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Every class raised to the size of the largest by repeating rows as evenly as possible.
 
-    Which rows get the extra copy is drawn by hash. ``copy`` numbers the repeats from 0.
+    Which rows get the extra copy is drawn by hash. ``copy`` numbers the repeats from 0. Copies are made in two steps
+    with a redistribution between, so a few rows against a huge class fill more than one task.
     """
     ranked = attach_row(hash_rank(df, label, key, seed), _class_range(df, label))
     base = F.floor(F.col("__most") / F.col("__class_n"))
     extra = (F.col("__rank") <= F.col("__most") % F.col("__class_n")).cast("long")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), base + extra - 1))).select(*df.columns, "copy")
+    zero, copies = F.lit(0).cast("long"), base + extra
+    chunks = ranked.withColumns({"__copies": copies, "__chunk": F.explode(F.sequence(zero, F.floor((copies - 1) / COPIES_AT_ONCE)))})
+    spread = chunks.repartition(F.col(key), F.col("__chunk"))
+    first = F.col("__chunk") * COPIES_AT_ONCE
+    last = F.least(first + COPIES_AT_ONCE, F.col("__copies")) - 1
+    return spread.withColumn("copy", F.explode(F.sequence(first, last))).select(*df.columns, "copy")
 
 
 def concat_classes(parts: Sequence[DataFrame]) -> DataFrame:

@@ -110,8 +110,12 @@ def before_after(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
     return frames[0].unionByName(frames[1])
 
 
-def correction_log(before: DataFrame, after: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Rows whose value changed, with old and new value."""
-    old = before.select(*keys, F.col(column).alias("old_value"))
-    new = after.select(*keys, F.col(column).alias("new_value"))
-    return old.join(new, list(keys)).filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+def correct(df: DataFrame, column: str, corrected: Column, old: str = "old_value") -> DataFrame:
+    """Replace a column and keep its former value beside it, which is what ``correction_log`` reads."""
+    return df.withColumns({old: F.col(column), column: corrected})
+
+
+def correction_log(corrected: DataFrame, keys: Sequence[str], column: str, old: str = "old_value") -> DataFrame:
+    """Rows of a corrected frame whose value changed, with old and new value; repeated and null keys are all kept."""
+    changed = corrected.filter(~F.col(old).eqNullSafe(F.col(column)))
+    return changed.select(*keys, F.col(old).alias("old_value"), F.col(column).alias("new_value"))

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millwright.operators.clean import coerce_telemetry, prepare_incidents
 from millwright.operators.contracts import require_columns
 from millwright.schemas import INCIDENT_REQUIRED, TELEMETRY_REQUIRED
 
+_CORRUPT = "__corrupt_record"
 
-def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+
+def read_text_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """All columns as text plus ``row_seq``, the position of the row in its source.
 
-    ``row_seq`` orders by file, block and row within the block, which holds whatever way Spark groups
+    A quote inside quoted text is doubled. ``multiline`` allows line breaks inside quoted text; such files are read
+    whole by one task each, others are split. A record with too few or too many fields raises instead of shifting
+    its values. ``row_seq`` orders by file, block and row within the block, which holds whatever way Spark groups
     blocks into tasks.
     """
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.options(header=True, mode="PERMISSIVE", escape='"', multiLine=multiline, columnPruning=False)
+    columns = reader.csv(path).schema
+    rows = reader.schema(StructType([*columns.fields, StructField(_CORRUPT, StringType())])).option(
+        "columnNameOfCorruptRecord", _CORRUPT
+    ).csv(path)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("*", position.alias("row_seq"))
+    # the message names a data column too: Spark reads no file for the corrupt record alone
+    shown = F.concat(F.lit("a CSV record has the wrong number of fields: "), F.coalesce(_CORRUPT, F.col(f"`{columns[0].name}`"), F.lit("")))
+    whole = F.when(F.col(_CORRUPT).isNull(), True).otherwise(F.raise_error(shown).cast("boolean"))
+    return rows.select("*", position.alias("row_seq")).filter(whole).drop(_CORRUPT)
 
 
 def load_telemetry(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -31,7 +43,8 @@ def load_telemetry(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def load_incidents(spark: SparkSession, path: str | list[str], salt: str | None = None) -> DataFrame:
-    raw = require_columns(read_text_csv(spark, path), INCIDENT_REQUIRED, "incidents")
+    # operators type the comments, so they may hold line breaks
+    raw = require_columns(read_text_csv(spark, path, multiline=True), INCIDENT_REQUIRED, "incidents")
     return prepare_incidents(raw, salt).drop("row_seq")
 
 

@@ -11,7 +11,7 @@ from millwright.functions.columns import combine_date_time
 from millwright.operators.contracts import ContractError
 from millwright.operators.features import order_gold_columns
 from millwright.schemas import LAYER_TABLES
-from millwright.sinks.tables import gold_csv_path, list_runs, unpack_gold
+from millwright.sinks.tables import gold_csv_path, gold_path, iso_text, list_runs, unpack_gold
 
 PAGE_LIMIT = 500  # fixed value: largest preview page
 
@@ -60,8 +60,9 @@ def load_layer_frames(spark: SparkSession, root: str, layer: str) -> dict[str, D
 
 
 def load_gold(spark: SparkSession, root: str, table: str = "gold_dataset") -> DataFrame:
-    """The wide gold table, also when it was stored packed."""
-    stored = read_layer(spark, root, "gold", table)
+    """The wide gold table of the newest validated run, also when it was stored packed."""
+    newest = list_runs(spark, root).filter((F.col("layer") == "gold") & F.col("run_dir").startswith(gold_path(root, table, "v"))).first()
+    stored = spark.read.parquet(newest["run_dir"]) if newest else read_layer(spark, root, "gold", table)
     if {"features", "labels"} <= set(stored.columns):
         return unpack_gold(stored)
     return order_gold_columns(stored)
@@ -75,8 +76,8 @@ def page(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0)
 
 def text_cells(df: DataFrame) -> DataFrame:
     """Dates and times as ISO text, as a preview shows them; everything else unchanged."""
-    formats = {"date": "yyyy-MM-dd", "timestamp_ntz": "yyyy-MM-dd'T'HH:mm:ss", "timestamp": "yyyy-MM-dd'T'HH:mm:ss"}
-    return df.select(*[F.date_format(c, formats[t]).alias(c) if t in formats else F.col(c) for c, t in df.dtypes])
+    times = ("date", "timestamp_ntz", "timestamp")
+    return df.select(*[iso_text(F.col(c)).alias(c) if t in times else F.col(c) for c, t in df.dtypes])
 
 
 def preview(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0) -> tuple[DataFrame, int]:
@@ -90,5 +91,5 @@ def list_gold_csvs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def preview_gold_csv(spark: SparkSession, root: str, run_name: str, limit: int = 100, offset: int = 0):
-    rows = spark.read.option("header", True).csv(gold_csv_path(root, run_name))
+    rows = spark.read.options(header=True, escape='"').csv(gold_csv_path(root, run_name))
     return preview(rows, ["machine_id_std", "window_start"], limit, offset)

@@ -2,7 +2,8 @@
 
 Dump files are read line by line, so a large file is split over tasks like any text file. Which INSERT
 a tuple line belongs to depends on the lines before it: inside a file block that is a window, across
-blocks the last open statement is carried over. A tuple must not be broken over lines.
+blocks the last open statement is carried over. So are open quotes and brackets: lines are joined until both are
+closed, wherever a tuple is broken. Comment lines (``--``) take no part in that.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ OPENS = r"(?i)^\s*INSERT\s+INTO\s+(?:\w+\.)?\"?(\w+)\"?\s*\([^)]*\)(?:\s*VALUES)
 TUPLE = rf"\(\s*((?:{QUOTED}|[^'()])*)\)"
 FIELD = rf"({QUOTED}|[^,'\s][^,']*)"
 BEFORE_CONFLICT = rf"(?i)^((?:{QUOTED}|[^'])*?)\bON\s+CONFLICT\b"
+BETWEEN = r"(?is)^[\s,;]*(?:VALUES)?[\s,;]*(?:--.*)?$"
 CLOSES = rf"(?i)^(?:{QUOTED}|[^'])*?(?:\bON\s+CONFLICT\b|;\s*$)"
 
 
@@ -36,14 +38,52 @@ def dump_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the running total of ``value`` over all lines of the file before each line."""
+    rows = lines.withColumn("__v", value)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.sum("__v").alias("__s")).select(
+        "file", "block", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base")
+    )
+    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__base") + F.coalesce(F.sum("__v").over(before), F.lit(0))
+    return rows.join(blocks, ["file", "block"]).withColumn(name, total).drop("__v", "__base")
+
+
+def joined_lines(lines: DataFrame) -> DataFrame:
+    """Lines joined while a quote or a bracket is open, at the place of their first line."""
+    line = F.col("line")
+    comment = line.rlike(r"^\s*--")
+    quotes = F.when(comment, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit("'"))))
+    rows = _carried(lines, quotes, "__quotes")
+    inside = F.col("__quotes") % 2 == 1
+    plain = F.regexp_replace(F.when(inside, F.concat(F.lit("'"), line)).otherwise(line), "'[^']*(?:'|$)", "")
+    depth = F.when(comment & ~inside, 0).otherwise(
+        F.length(F.replace(plain, F.lit(")"))) - F.length(F.replace(plain, F.lit("(")))
+    )
+    rows = _carried(rows, depth, "__depth")
+    starts = F.when(~inside & (F.col("__depth") == 0), F.struct("block", "pos"))
+    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.groupBy("file", "block").agg(F.max(starts).alias("__start"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_start = last.select("file", "block", F.max("__start").over(earlier).alias("__open"))
+    placed = rows.withColumn("__start", F.max(starts).over(before)).join(open_start, ["file", "block"])
+    parts = placed.withColumn("__start", F.coalesce("__start", "__open")).groupBy("file", "__start").agg(
+        F.sort_array(F.collect_list(F.struct("block", "pos", "line"))).alias("__lines")
+    )
+    text = F.array_join(F.col("__lines.line"), "\n")
+    return parts.select(text.alias("line"), "file", F.col("__start.block").alias("block"), F.col("__start.pos").alias("pos"))
+
+
 def _literal(token: Column) -> Column:
-    text = F.trim(token)
+    text = F.regexp_replace(token, r"^\s+|\s+$", "")
     unquoted = F.regexp_replace(F.substring(text, F.lit(2), F.length(text) - 2), "''", "'")
     return F.when(text.startswith("'"), unquoted).when(F.upper(text) != "NULL", text)
 
 
 def insert_rows(lines: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """The tuples inserted into ``table`` as text columns named by position; SQL NULL becomes null."""
+    lines = joined_lines(lines)
     opened = F.regexp_extract("line", OPENS, 1)
     marked = lines.withColumns(
         {
@@ -64,8 +104,9 @@ def insert_rows(lines: DataFrame, table: str, columns: Sequence[str]) -> DataFra
     body = F.regexp_replace("line", OPENS, "")
     cut = F.regexp_extract(body, BEFORE_CONFLICT, 1)
     body = F.when(body.rlike(BEFORE_CONFLICT), cut).otherwise(body)
-    broken = F.length(body) - F.length(F.replace(body, F.lit("'")))
-    whole = F.when(broken % 2 == 0, body).otherwise(F.raise_error(F.lit("a dump tuple is broken over lines")).cast("string"))
+    rest = F.regexp_replace(body, TUPLE, "")
+    strange = F.raise_error(F.concat(F.lit(f"{table}: no tuple in a dump line: "), F.substring(F.trim(rest), 1, 200))).cast("string")
+    whole = F.when(rest.rlike(BETWEEN), body).otherwise(strange)
     tuples = mine.select(F.explode(F.regexp_extract_all(whole, F.lit(TUPLE), F.lit(1))).alias("tuple"))
     fields = tuples.select(F.transform(F.regexp_extract_all("tuple", F.lit(FIELD), F.lit(1)), _literal).alias("f"))
     wrong = F.raise_error(F.concat(F.lit(f"{table}: expected {len(columns)} values, found "), F.size("f").cast("string")))

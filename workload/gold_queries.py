@@ -250,12 +250,15 @@ def future_labels_next_hours_only(spark, sf):
 
 
 @query(with_views(
-    f"SELECT {KEYS}, f AS future_incident_count_24h, CASE WHEN f > 0 THEN true WHEN e IS NULL THEN NULL ELSE false END AS label_failure_next_24h "
-    f"FROM (SELECT {KEYS}, {big(f'sum(incident_count_1h) {over(0, 23)}', 'f')}, "
-    "lead(1, 23) OVER (PARTITION BY machine_id_std ORDER BY window_start) AS e FROM context)", "context"))
+    f"SELECT {KEYS}, " + ", ".join(
+        f"f{h} AS future_incident_count_{h}h, CASE WHEN f{h} > 0 THEN true WHEN e{h} IS NULL THEN NULL ELSE false END AS label_failure_next_{h}h"
+        for h in LABEL_HOURS)
+    + f" FROM (SELECT {KEYS}, " + ", ".join(
+        f"{big(f'sum(incident_count_1h) {over(0, h - 1)}', f'f{h}')}, lead(1, {h - 1}) OVER (PARTITION BY machine_id_std ORDER BY window_start) AS e{h}"
+        for h in LABEL_HOURS) + " FROM context)", "context"))
 def future_labels_censored(spark, sf):
     done = ft.add_future_labels(_counted_grid(spark, sf), censored=True)
-    return done.select(*FEATURES, "future_incident_count_24h", "label_failure_next_24h")
+    return done.select(*FEATURES, *LABELS)
 
 
 GOLD_SQL = with_views(

@@ -28,9 +28,14 @@ def _lines(spark, sf):
 
 # ---- deduplication
 
-@query("SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem")
+COPIED = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber <= 2)"
+
+
+@query(f"SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, {', '.join(r(c) for c in LINE)} FROM {COPIED}")
 def dedup_exact_rows(spark, sf):
-    return cl.dedup_rows(_lines(spark, sf).select("l_suppkey", "l_returnflag", "l_linestatus"))
+    lines = _lines(spark, sf)
+    rows = cl.dedup_rows(lines.unionByName(lines.filter("l_linenumber <= 2")))
+    return rounded(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", *LINE))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {r('l_quantity')} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) WHERE k = 1")
@@ -218,8 +223,8 @@ def correction_log(spark, sf):
     from millwright.functions.columns import celsius
 
     raw = _telemetry(spark, sf)
-    fixed = raw.withColumn("temperature_c", celsius(F.col("temperature_c")))
-    return rounded(ol.correction_log(raw, fixed, ["row_seq"], "temperature_c"))
+    fixed = ol.correct(raw, "temperature_c", celsius(F.col("temperature_c")))
+    return rounded(ol.correction_log(fixed, ["row_seq"], "temperature_c"))
 
 
 # ---- class balance
@@ -258,11 +263,11 @@ def stratified_split(spark, sf):
     return bl.stratified_split(_labelled(spark, sf), "toxic", "doc_id").select("doc_id", "toxic", "part")
 
 
-@query(f"WITH {LABELLED} SELECT toxic, count(*) AS n FROM (SELECT * FROM lab WHERE toxic = 0 UNION ALL SELECT * FROM lab WHERE toxic = 1) GROUP BY 1")
+@query(f"WITH {RANKED} SELECT doc_id, toxic, quality, n_chars FROM rk WHERE toxic = 1 OR k <= (SELECT min(n) FROM rk)")
 def concat_balanced_classes(spark, sf):
     rows = _labelled(spark, sf)
-    both = bl.concat_classes([rows.filter("toxic = 0"), rows.filter("toxic = 1")])
-    return both.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    fewer = bl.downsample(rows, "toxic", "doc_id").filter("toxic = 0")
+    return bl.concat_classes([fewer, rows.filter("toxic = 1")]).select("doc_id", "toxic", "quality", "n_chars")
 
 
 CONFUSION = """WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic <> 1 AND quality = 0) AS fp,

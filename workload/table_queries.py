@@ -10,6 +10,7 @@ from millwright.functions import columns as co
 from millwright.functions.storage import shared_dir
 from millwright.operators import clean as cl
 from millwright.operators.asof import hours_since_last_event_asof
+from millwright.plans.layers import finish_gold
 from millwright.schemas import GOLD_LABELS, MACHINE_COLUMNS, TYPE_COLUMNS
 from millwright.sinks import tables as sk
 from millwright.sources import csv_files, layers, sql_dump
@@ -113,37 +114,63 @@ def csv_telemetry_source(spark, sf):
     return rounded(csv_files.load_telemetry(spark, path).drop("row_seq"))
 
 
-@query(with_views(f"SELECT incident_id, date_trunc('second', incident_at) AS incident_at, window_start, machine_id_std, severity, {', '.join(TYPE_COLUMNS)} FROM incidents_v", "incidents_v"))
+NOTE = "concat('dit \"stop\", puis ', {C}, chr(10), 'rien')"
+
+
+@query(with_views(
+    f"SELECT incident_id, CAST(incident_at AS DATE) AS date, strftime(incident_at, '%H:%M:%S') AS time, machine_id, severity, "
+    f"CASE WHEN comment IS NULL OR comment = '' THEN NULL ELSE {NOTE.format(C='comment')} END AS comment, shift, {', '.join(TYPE_COLUMNS)}, "
+    "date_trunc('second', incident_at) AS incident_at, window_start, machine_id_std, "
+    "concat('OP_', substr(sha256(concat('pinch', operator_badge)), 1, 61)) AS operator_key FROM incidents_v", "incidents_v"))
 def csv_incident_source(spark, sf):
+    """Every column, with comments that hold quotes, commas and line breaks."""
     path = _scratch(spark, "incidents-csv")
-    rows = view(spark, sf, "incidents_v").withColumns({"date": F.date_format("incident_at", "yyyy-MM-dd"), "time": F.date_format("incident_at", "HH:mm:ss")})
-    rows.drop("incident_at", "window_start", "machine_id_std").write.option("header", True).csv(path)
-    return csv_files.load_incidents(spark, path).select("incident_id", "incident_at", "window_start", "machine_id_std", "severity", *TYPE_COLUMNS)
+    rows = view(spark, sf, "incidents_v").withColumns({
+        "date": F.date_format("incident_at", "yyyy-MM-dd"), "time": F.date_format("incident_at", "HH:mm:ss"),
+        "operator_name": F.lit('Ann "A", of hall 2'), "comment": F.when(F.col("comment") != "", F.expr(NOTE.format(C="comment"))),
+    })
+    rows.drop("incident_at", "window_start", "machine_id_std").write.options(header=True, escape='"').csv(path)
+    return csv_files.load_incidents(spark, path, salt="pinch").select(
+        "incident_id", "date", "time", "machine_id", "severity", "comment", "shift", *TYPE_COLUMNS, "incident_at", "window_start",
+        "machine_id_std", "operator_key")
+
+
+def _dump(df, table, key, broken):
+    """Dump text of a frame: two copies of every tuple, broken over lines."""
+    def literal(name, kind):
+        c = F.col(name)
+        text = c.cast("string") if kind in ("int", "bigint", "double") else F.concat(F.lit("'"), F.regexp_replace(c.cast("string"), "'", "''"), F.lit("'"))
+        return F.coalesce(text, F.lit("NULL"))
 
+    values = F.concat_ws(f",{broken} ", *[literal(n, k) for n, k in df.dtypes])
+    return df.select(F.concat(
+        F.lit(f"INSERT INTO {table} ({', '.join(df.columns)})\nVALUES\n("), values, F.lit("),\n("), values,
+        F.lit(f")\nON CONFLICT ({key}) DO UPDATE SET\n{key} = EXCLUDED.{key};\nINSERT INTO other (a, b) VALUES (1, 'x');\n-- it's done"),
+    ).alias("value"))
 
-@query(with_views(f"SELECT {', '.join(MACHINE_COLUMNS)}, concat('it''s (', model, '), a ''test''') AS note FROM machine_v", "machine_v"))
+
+@query(with_views(f"SELECT {', '.join(MACHINE_COLUMNS)}, concat('it''s (', model, '), a ''test''', chr(10), 'or (two') AS note FROM machine_v", "machine_v"))
 def sql_dump_source(spark, sf):
-    """Machines written as dump text (one tuple per line, several statements) and read back."""
+    """Machines written as dump text, tuples and texts broken over lines, and read back over small splits."""
     path = _scratch(spark, "dump")
-    m = view(spark, sf, "machine_v").withColumn("note", F.concat(F.lit("it's ("), "model", F.lit("), a 'test'")))
-
-    def literal(name, kind):
-        c = F.col(name)
-        if kind in ("int", "bigint"):
-            return c.cast("string")
-        return F.concat(F.lit("'"), F.regexp_replace(c.cast("string"), "'", "''"), F.lit("'"))
-
-    values = F.concat_ws(", ", *[literal(n, k) for n, k in m.dtypes])
-    names = ", ".join(m.columns)
-    statement = F.concat(
-        F.lit(f"INSERT INTO machine ({names})\nVALUES\n("), values, F.lit("),\n("), values,
-        F.lit(")ON CONFLICT (machine_code) DO UPDATE SET\nmodel = EXCLUDED.model;\nINSERT INTO other (a, b) VALUES (1, 'x');"),
-    )
-    m.select(statement.alias("value")).write.text(path)
+    note = F.concat(F.lit("it's ("), "model", F.lit("), a 'test'\nor (two"))
+    _dump(view(spark, sf, "machine_v").withColumn("note", note), "machine", "machine_code", "\n").write.text(path)
     rows = sql_dump.insert_rows(sql_dump.dump_lines(spark, path), "machine", [*MACHINE_COLUMNS, "note"])
     return sql_dump.typed_machines(rows).dropDuplicates()
 
 
+@query(with_views(f"SELECT maintenance_id, machine_code, date_trunc('second', maintenance_at) AS maintenance_at, maintenance_type, component, "
+                  f"{r('duration_hours')}, maintenance_hour FROM maintenance_v", "maintenance_v"))
+def sql_dump_maintenance(spark, sf):
+    path = _scratch(spark, "dump")
+    columns = ["maintenance_id", "machine_code", "maintenance_at", "maintenance_type", "component", "duration_hours"]
+    at = F.concat(F.date_format("maintenance_at", "yyyy-MM-dd HH:mm:ss"), F.lit("+00"))
+    _dump(view(spark, sf, "maintenance_v").select(*columns).withColumn("maintenance_at", at), "maintenance", "maintenance_id", "").write.text(path)
+    rows = sql_dump.insert_rows(sql_dump.dump_lines(spark, path), "maintenance", columns)
+    done = sql_dump.typed_maintenance(rows).dropDuplicates().withColumn("maintenance_id", F.col("maintenance_id").cast("long"))
+    return rounded(done.select(*columns, "maintenance_hour"))
+
+
 @query(with_views(f"SELECT machine_id_std, window_start, {r('temp_mean_1h')}, {r('pieces_produced_1h')} FROM hourly", "hourly"))
 def layer_table_round_trip(spark, sf):
     root = _scratch(spark, "layers")
@@ -169,13 +196,14 @@ def gold_json_round_trip(spark, sf):
     return rounded(sk.unpack_gold(packed, sk.gold_json_schemas(gold)))
 
 
-@query(with_views("SELECT split_set, count(*) AS n FROM split GROUP BY 1", "split"))
+@query(_pack_sql())
 def gold_table_reload(spark, sf):
+    """Written, validated and published as a run, then read back in full."""
     root = _scratch(spark, "gold")
-    sk.write_gold(_gold(spark, sf), root)
+    finish_gold(spark, _gold(spark, sf), root, "files")
     stored = layers.load_gold(spark, root)
     assert stored.columns[-len(GOLD_LABELS):] == GOLD_LABELS
-    return stored.groupBy("split_set").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(stored)
 
 
 @query(f"""SELECT o_orderkey, {r('o_totalprice')}, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0

@@ -53,7 +53,7 @@ SELECT event_id AS maintenance_id, concat('MACH-', CAST(user_id AS STRING)) AS m
  CASE WHEN event_id % 20 = 0 THEN 'proactive' ELSE 'reactive' END AS maintenance_type,
  concat('component-', CAST(event_id % 11 AS STRING)) AS component,
  CAST(1.0E0 + (event_id % 7) * 0.25E0 AS DOUBLE) AS duration_hours
-FROM events WHERE event_type = 'signup' AND event_id % 10 = 0"""),
+FROM events WHERE event_type = 'signup'"""),
 }
 
 
