@@ -13,8 +13,12 @@ def last_event_before(probes: DataFrame, events: DataFrame, key: str, time: str,
     """Add ``name``, the time of the latest event not after the probe (null when there is none).
 
     Probes and events of a key are merged in time order inside spans of hours; the latest event of
-    earlier spans is carried in, so a hot key is spread over its spans.
+    earlier spans is carried in, so a hot key is spread over its spans. Probes without a key or a time have no event;
+    they skip the windows, where they would meet in one task.
     """
+    unknown = F.col(key).isNull() | F.col(time).isNull()
+    rest = probes.filter(unknown).withColumn(name, F.lit(None).cast("timestamp_ntz"))
+    probes = probes.filter(~unknown)
     span = F.floor(epoch_hour(F.col(time)) / span_hours).alias(CHUNK)
     marks = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time).distinct()
     latest = marks.groupBy(key, span).agg(F.max(time).alias("__latest"))
@@ -30,7 +34,7 @@ def last_event_before(probes: DataFrame, events: DataFrame, key: str, time: str,
     inside = Window.partitionBy(key, CHUNK).orderBy(F.col(time), F.col("__probe").asc_nulls_first())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     found = both.join(carried, [key, CHUNK], "left").withColumn(name, F.coalesce(F.max("__event").over(upto), F.col("__carried")))
-    return found.filter("__probe").select(*probes.columns, name)
+    return found.filter("__probe").select(*probes.columns, name).unionByName(rest)
 
 
 def hours_since_last_event_asof(probes: DataFrame, events: DataFrame, key: str, time: str) -> DataFrame:

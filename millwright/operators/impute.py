@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from millwright.functions.quantiles import medians
 from millwright.functions.storage import attach_row, materialize
 from millwright.schemas import HOURLY_COLUMNS, PIECES
 
+#: Passes of the regression strategy.
+REGRESSION_ROUNDS = 2
+
 
 def interpolated(column: str, hour: Column, fallback: Column, causal: bool = False, series: str | None = None) -> Column:
     """Linear between the surrounding values, nearest value beyond the ends, then the fallback.
@@ -105,7 +110,7 @@ def compare_strategies(grid: DataFrame, columns: Sequence[str], mask: Column, ch
     """Hide known training values, refill them, report the mean absolute error per signal and strategy.
 
     ``mask`` picks the hidden rows and must be a rule on keys (a hash), so both sides see the same rows.
-    Strategies: ``interpolation``, ``median`` (training rows left visible).
+    Strategies: ``interpolation``, ``median`` and ``regression`` (fitted on the training rows left visible).
     """
     train = F.col("split_set") == "train"
     hidden = mask & train
@@ -118,11 +123,12 @@ def compare_strategies(grid: DataFrame, columns: Sequence[str], mask: Column, ch
         }
     )
     fitted = train_medians(masked, columns, train)
-    filled = attach_row(with_neighbours(truth, {c: [c] for c in columns}, chunk_hours=chunk_hours), fitted)
+    guessed = impute_regression(truth.withColumns({f"{c}__line": F.col(c) for c in columns}), [f"{c}__line" for c in columns], train, REGRESSION_ROUNDS)
+    filled = attach_row(with_neighbours(guessed, {c: [c] for c in columns}, chunk_hours=chunk_hours), fitted)
     errors = []
     for c in columns:
         between = interpolated(c, F.col(HOUR), F.col(f"{c}__median"))
-        for strategy, value in (("interpolation", between), ("median", F.col(f"{c}__median"))):
+        for strategy, value in (("interpolation", between), ("median", F.col(f"{c}__median")), ("regression", F.col(f"{c}__line"))):
             errors.append(
                 F.struct(
                     F.lit(c).alias("signal"), F.lit(strategy).alias("strategy"),
@@ -142,26 +148,62 @@ def best_strategy(comparison: DataFrame) -> DataFrame:
     )
 
 
+def impute_by_strategy(grid: DataFrame, strategies: Mapping[str, str], chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """Fill every signal of the hourly grid by the strategy named for it, fitted on training rows.
+
+    ``strategies`` maps signals to ``interpolation``, ``median`` or ``regression``, as ``best_strategy`` finds them.
+    """
+    columns, train = list(strategies), F.col("split_set") == "train"
+    rows = materialize(grid, "grid").withColumn(HOUR, epoch_hour(F.col("window_start")))
+    fitted = train_medians(rows, columns, train)
+    guessed = impute_regression(rows.withColumns({f"{c}__line": F.col(c) for c in columns}), [f"{c}__line" for c in columns], train, REGRESSION_ROUNDS)
+    filled = attach_row(with_neighbours(guessed, {c: [c] for c in columns}, chunk_hours=chunk_hours), fitted)
+    value = {}
+    for c, strategy in strategies.items():
+        median = F.col(f"{c}__median")
+        choices = {"interpolation": interpolated(c, F.col(HOUR), median), "median": median, "regression": F.col(f"{c}__line")}
+        value[c] = F.coalesce(F.col(c), choices[strategy])
+    return filled.withColumns(value).select(*grid.columns)
+
+
+def _fitted_lines(work: DataFrame, columns: Sequence[str], train: Column | None) -> dict[str, Column]:
+    """For each column its least-squares line over the others, from one aggregation of means and covariances.
+
+    Fitted on training rows where the column was observed. Columns that vary with nothing get a zero weight (the
+    solution of least norm); a column that was never observed has no line.
+    """
+    aggs = []
+    for t in columns:
+        use = F.col(f"{t}__seen") if train is None else F.col(f"{t}__seen") & train
+        part = [F.when(use, F.col(c)) for c in columns]
+        aggs += [F.avg(x).alias(f"{t}|{i}") for i, x in enumerate(part)]
+        aggs += [F.covar_pop(part[i], part[j]).alias(f"{t}|{i}|{j}") for i in range(len(columns)) for j in range(i + 1)]
+    found, lines = work.agg(*aggs).first().asDict(), {}
+    for k, t in enumerate(columns):
+        if found[f"{t}|{k}"] is None:
+            continue
+        others = [i for i in range(len(columns)) if i != k and found[f"{t}|{i}"] is not None]
+        shared = lambda i, j: found[f"{t}|{max(i, j)}|{min(i, j)}"] or 0.0  # noqa: B023, E731
+        matrix = np.array([[shared(i, j) for j in others] for i in others]).reshape(len(others), len(others))
+        weights = np.linalg.lstsq(matrix, np.array([shared(i, k) for i in others]), rcond=None)[0] if others else []
+        start = found[f"{t}|{k}"] - sum(w * found[f"{t}|{i}"] for w, i in zip(weights, others))
+        terms = [F.lit(float(w)) * F.col(columns[i]) for w, i in zip(weights, others)]
+        lines[t] = reduce(lambda x, y: x + y, terms, F.lit(float(start)))
+    return lines
+
+
 def impute_regression(df: DataFrame, columns: Sequence[str], train: Column | None = None, rounds: int = 3) -> DataFrame:
     """Fill each column from the others by linear regression fitted on training rows, in ``rounds`` passes.
 
-    The first pass starts from training medians. Only rows where the target was observed are fitted on;
-    observed values are never changed. The fits are distributed; predictions are plain column arithmetic.
+    The first pass starts from training medians; a pass fits all columns on the values the pass before it left. Only
+    rows where the target was observed are fitted on; observed values are never changed; a column without a training
+    value stays as it is. A pass is one aggregation and column arithmetic; its table is written once.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
+    columns = list(columns)
     seen = df.withColumns({f"{c}__seen": F.col(c).isNotNull() for c in columns})
     work = apply_statistics(seen, fit_statistics(df, columns, "median", train), columns)
     for _ in range(rounds):
-        for target in columns:
-            others = [c for c in columns if c != target]
-            work = materialize(work, "regression-round")
-            fit_rows = work.filter(F.col(f"{target}__seen"))
-            fit_rows = fit_rows if train is None else fit_rows.filter(train)
-            assembled = VectorAssembler(inputCols=others, outputCol="features").transform(fit_rows)
-            model = LinearRegression(featuresCol="features", labelCol=target, solver="normal").fit(assembled)
-            weights = zip(others, (float(w) for w in model.coefficients))
-            line = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights], F.lit(float(model.intercept)))
-            work = work.withColumn(target, F.when(F.col(f"{target}__seen"), F.col(target)).otherwise(line))
+        work = materialize(work, "regression-round")
+        lines = _fitted_lines(work, columns, train)
+        work = work.withColumns({c: F.when(F.col(f"{c}__seen"), F.col(c)).otherwise(line) for c, line in lines.items()})
     return work.select(*df.columns)

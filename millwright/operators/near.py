@@ -16,12 +16,13 @@ def near_in_time(
 
     One candidate per row, not all pairs: chains of close rows stay linked through their neighbours.
     Blocks are cut into spans of time; a row near the end of a span is also shown to the next one, so a
-    hot block spreads over tasks and no link is lost.
+    hot block spreads over tasks and no link is lost. Rows without a time, or with a null among the block's
+    columns, belong to no block and are linked to nothing.
     """
     at = F.unix_micros(F.col(time).cast("timestamp")) if dict(df.dtypes)[time] == "timestamp" else _micros(time)
     gap, span = max_gap_seconds * 1_000_000, max(max_gap_seconds, 86_400) * 1_000_000
     keep = [*block, key, time, *([text] if text else [])]
-    rows = df.filter(F.col(time).isNotNull()).select(*keep, at.alias("__at"))
+    rows = df.na.drop(subset=[time, *block]).select(*keep, at.alias("__at"))
     rows = rows.withColumn("__home", F.floor(F.col("__at") / span)).withColumn(
         "__span", F.explode(F.sequence(F.col("__home"), F.floor((F.col("__at") + gap) / span)))
     )

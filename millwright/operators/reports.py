@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import floor_hour, is_blank
-from millwright.functions.quantiles import quantiles_long
+from millwright.functions.quantiles import SALTS, exact_quantiles
 from millwright.functions.storage import attach_row
 from millwright.schemas import RAW_SIGNALS, TYPE_COLUMNS
 
@@ -63,27 +63,31 @@ def frequent_comments(incidents: DataFrame, n: int = 20) -> DataFrame:
 
 
 def box_summary(telemetry: DataFrame, signals: Sequence[str] = RAW_SIGNALS, by: str = "machine_id") -> DataFrame:
-    """Quartiles, 1.5 IQR whiskers (the furthest points inside the fences) and outlier count per machine and signal."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in signals])
-    long = telemetry.select(by, F.explode(pairs).alias("p")).select(by, "p.*")
-    long = long.filter(F.col("x").isNotNull() & F.col(by).isNotNull())
-    quartiles = quantiles_long(telemetry, signals, [0.25, 0.5, 0.75], [by]).select(
-        by, F.col("column").alias("signal"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
-    low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    x = F.col("x")
-    inside = (x >= low) & (x <= high)
-    return (
-        long.join(quartiles, [by, "signal"])
-        .groupBy(by, "signal")
-        .agg(
-            *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
-            F.min(F.when(inside, x)).alias("whisker_low"),
-            F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count(F.when(~inside, 1)).alias("outliers"),
-        )
-    )
+    """Quartiles, 1.5 IQR whiskers (the furthest points inside the fences) and outlier count per machine and signal.
+
+    Whiskers and counts are taken in salted partials and merged, so a machine with much of the data is many tasks.
+    """
+    signals = list(signals)
+    rows = telemetry.select(by, *[F.col(s).cast("double").alias(s) for s in signals]).filter(F.col(by).isNotNull())
+    quartiles = exact_quantiles(rows, signals, [0.25, 0.5, 0.75], [by])
+    salted = quartiles.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    joined = rows.withColumn("__salt", F.pmod(F.xxhash64(*signals), F.lit(SALTS))).join(salted, [by, "__salt"])
+    partial, merged, cells = [], [], []
+    for s in signals:
+        x, q1, q3 = F.col(s), F.col(f"{s}_q0"), F.col(f"{s}_q2")
+        inside = (x >= q1 - 1.5 * (q3 - q1)) & (x <= q3 + 1.5 * (q3 - q1))
+        partial += [
+            F.min(F.when(inside, x)).alias(f"{s}__low"), F.max(F.when(inside, x)).alias(f"{s}__high"), F.count(F.when(~inside, 1)).alias(f"{s}__out"),
+            *[F.first(f"{s}_q{i}").alias(f"{s}__q{i}") for i in range(3)],
+        ]
+        merged += [
+            F.min(f"{s}__low").alias(f"{s}__low"), F.max(f"{s}__high").alias(f"{s}__high"), F.sum(f"{s}__out").alias(f"{s}__out"),
+            *[F.first(f"{s}__q{i}").alias(f"{s}__q{i}") for i in range(3)],
+        ]
+        names = {"q0": "q1", "q1": "median", "q2": "q3", "low": "whisker_low", "high": "whisker_high", "out": "outliers"}
+        cells.append(F.struct(F.lit(s).alias("signal"), *[F.col(f"{s}__{k}").alias(v) for k, v in names.items()]))
+    wide = joined.groupBy(by, "__salt").agg(*partial).groupBy(by).agg(*merged)
+    return wide.select(by, F.explode(F.array(*cells)).alias("b")).select(by, "b.*").filter(F.col("median").isNotNull())
 
 
 def correlations(df: DataFrame, columns: Sequence[str], complete_rows: bool = True) -> DataFrame:

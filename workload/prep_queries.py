@@ -121,15 +121,37 @@ def _error_sql(c):
             f"UNION ALL SELECT '{c}', 'median', {r(f'avg(abs({median} - true_{c}))', 'mean_abs_error')}, count(true_{c}) FROM masked")
 
 
-@query(with_views(f""", masked AS MATERIALIZED (SELECT machine_id_std, window_start, h, split_set,
- {', '.join(f"CASE WHEN NOT ({MASKED} AND split_set = 'train') THEN {c} END AS {c}, CASE WHEN {MASKED} AND split_set = 'train' THEN {c} END AS true_{c}" for c in COMPARED)} FROM split)
-{' UNION ALL '.join(_error_sql(c) for c in COMPARED)}""", "split"))
-def imputation_comparison(spark, sf):
+_ONE, _TWO = COMPARED
+_FIT = """, f{k} AS MATERIALIZED (SELECT regr_slope(y, b) FILTER (y IS NOT NULL) AS ys, regr_intercept(y, b) FILTER (y IS NOT NULL) AS yi,
+ regr_slope(z, a) FILTER (z IS NOT NULL) AS zs, regr_intercept(z, a) FILTER (z IS NOT NULL) AS zi FROM g{j} WHERE split_set = 'train'),
+g{k} AS MATERIALIZED (SELECT split_set, y, z, ty, tz, coalesce(y, yi + ys * b) AS a, coalesce(z, zi + zs * a) AS b FROM g{j}, f{k})"""
+COMPARISON = f""", masked AS MATERIALIZED (SELECT machine_id_std, window_start, h, split_set,
+ {', '.join(f"CASE WHEN NOT ({MASKED} AND split_set = 'train') THEN {c} END AS {c}, CASE WHEN {MASKED} AND split_set = 'train' THEN {c} END AS true_{c}" for c in COMPARED)} FROM split),
+mid AS MATERIALIZED (SELECT quantile_cont({_ONE}, 0.5) AS m1, quantile_cont({_TWO}, 0.5) AS m2 FROM masked WHERE split_set = 'train'),
+g0 AS MATERIALIZED (SELECT split_set, {_ONE} AS y, {_TWO} AS z, true_{_ONE} AS ty, true_{_TWO} AS tz, coalesce({_ONE}, m1) AS a, coalesce({_TWO}, m2) AS b FROM masked, mid)
+{_FIT.format(j=0, k=1)}{_FIT.format(j=1, k=2)}, compared AS MATERIALIZED (
+{' UNION ALL '.join(_error_sql(c) for c in COMPARED)}
+UNION ALL SELECT '{_ONE}', 'regression', {r('avg(abs(a - ty))', 'mean_abs_error')}, count(ty) FROM g2
+UNION ALL SELECT '{_TWO}', 'regression', {r('avg(abs(b - tz))', 'mean_abs_error')}, count(tz) FROM g2)
+"""
+
+
+def _comparison(spark, sf):
     from millwright.functions.columns import epoch_hour
 
     code = F.md5(F.concat("machine_id_std", F.lit(":"), epoch_hour(F.col("window_start")).cast("string")))
     grid = _split(spark, sf).select("machine_id_std", "window_start", "split_set", *COMPARED)
-    return rounded(im.compare_strategies(grid, COMPARED, F.substring(code, 1, 1).isin("0", "1")))
+    return im.compare_strategies(grid, COMPARED, F.substring(code, 1, 1).isin("0", "1"))
+
+
+@query(with_views(COMPARISON + "SELECT * FROM compared", "split"))
+def imputation_comparison(spark, sf):
+    return rounded(_comparison(spark, sf))
+
+
+@query(with_views(COMPARISON + "SELECT signal, arg_min(strategy, (mean_abs_error, strategy)) AS strategy, min(mean_abs_error) AS mean_abs_error FROM compared GROUP BY signal", "split"))
+def imputation_best_strategy(spark, sf):
+    return im.best_strategy(rounded(_comparison(spark, sf)))
 
 
 # ---- outliers
@@ -287,16 +309,20 @@ def ranking_metrics(spark, sf):
     return rounded(bl.ranking_metrics(_labelled(spark, sf), "toxic", "n_chars"))
 
 
-REGRESSION = """, m AS MATERIALIZED (SELECT quantile_cont(voltage_mean_v, 0.5) AS v FROM telemetry_v),
-s AS MATERIALIZED (SELECT row_seq, temperature_c AS y, coalesce(voltage_mean_v, (SELECT v FROM m)) AS x FROM telemetry_v),
-f AS MATERIALIZED (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s WHERE y IS NOT NULL)
-SELECT row_seq, """ + r("coalesce(y, a + b * x)", "temperature_c") + " FROM s, f"
+REGRESSION = """, m AS MATERIALIZED (SELECT quantile_cont(voltage_mean_v, 0.5) AS v, quantile_cont(temperature_c, 0.5) AS t FROM telemetry_v),
+r0 AS MATERIALIZED (SELECT row_seq, temperature_c AS y, voltage_mean_v AS z, coalesce(temperature_c, t) AS a, coalesce(voltage_mean_v, v) AS b FROM telemetry_v, m),"""
+ROUND = """
+f{k} AS MATERIALIZED (SELECT regr_slope(y, b) FILTER (y IS NOT NULL) AS ys, regr_intercept(y, b) FILTER (y IS NOT NULL) AS yi,
+ regr_slope(z, a) FILTER (z IS NOT NULL) AS zs, regr_intercept(z, a) FILTER (z IS NOT NULL) AS zi FROM r{j}),
+r{k} AS MATERIALIZED (SELECT row_seq, y, z, coalesce(y, yi + ys * b) AS a, coalesce(z, zi + zs * a) AS b FROM r{j}, f{k})"""
+REGRESSION += ROUND.format(j=0, k=1) + "," + ROUND.format(j=1, k=2)
+REGRESSION += f" SELECT row_seq, {r('a', 'temperature_c')}, {r('b', 'voltage_mean_v')} FROM r2"
 
 
 @query(with_views(REGRESSION, "telemetry_v"))
 def impute_regression(spark, sf):
-    done = im.impute_regression(_telemetry(spark, sf), ["temperature_c", "voltage_mean_v"], rounds=1)
-    return rounded(done.select("row_seq", "temperature_c"))
+    done = im.impute_regression(_telemetry(spark, sf), ["temperature_c", "voltage_mean_v"], rounds=2)
+    return rounded(done.select("row_seq", "temperature_c", "voltage_mean_v"))
 
 
 @query(with_views("""SELECT incident_id, previous_id, levenshtein(comment, previous_text) AS text_distance FROM (
