@@ -149,6 +149,14 @@ def gold_metrics(gold: DataFrame) -> DataFrame:
     return attach_row(one, splits).withColumn("column_count", F.lit(len(gold.columns)))
 
 
+def attached_totals(gold: DataFrame) -> DataFrame:
+    """One row: how many incidents and maintenances the machine-hours hold."""
+    return gold.agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+        for c, name in (("incident_count_1h", "incidents_attached"), ("maintenance_count_1h", "maintenances_attached"))
+    ])
+
+
 def missing_summary(df: DataFrame) -> DataFrame:
     """Columns with missing values, most first."""
     from millwright.operators.reports import missing_share

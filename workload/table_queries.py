@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from millwright.functions import columns as co
 from millwright.functions.storage import shared_dir
 from millwright.operators import clean as cl
+from millwright.operators import contracts as ct
 from millwright.operators.asof import hours_since_last_event_asof
-from millwright.plans.layers import finish_gold
+from millwright.plans.layers import finish_gold, generate_report, run_layers
 from millwright.schemas import GOLD_LABELS, MACHINE_COLUMNS, TYPE_COLUMNS
 from millwright.sinks import tables as sk
 from millwright.sources import csv_files, layers, sql_dump
@@ -226,3 +227,80 @@ def run_index_merge(spark, sf):
     old = c.select(F.col("c_custkey").cast("string").alias("run_ts"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("run_name"),
                    F.lit(None).cast("string").alias("run_id"), F.col("c_nationkey").alias("n"))
     return sk.merge_run_index(old, old.filter("n < 5").withColumn("n", F.col("n") + 100))
+
+
+# ---- gold totals, exports, run index, stored reports
+
+@query(with_views("SELECT CAST(sum(incident_count_1h) AS BIGINT) AS incidents_attached, CAST(sum(maintenance_count_1h) AS BIGINT) AS maintenances_attached FROM context", "context"))
+def gold_attached_totals(spark, sf):
+    return ct.attached_totals(_gold(spark, sf))
+
+
+EXPORTED = ["machine_id_std", "split_set", "incident_count_1h", "maintenance_count_1h"]
+
+
+@query(with_views(f"SELECT strftime(window_start, '%Y-%m-%dT%H:%M:%S') AS window_start, machine_id_std, split_set, CAST(CAST(incident_count_1h AS BIGINT) AS VARCHAR) AS incident_count_1h, "
+                  "CAST(CAST(maintenance_count_1h AS BIGINT) AS VARCHAR) AS maintenance_count_1h FROM context", "context"))
+def gold_csv_export(spark, sf):
+    """The sorted CSV copy of gold, read back as text in full."""
+    root = _scratch(spark, "export")
+    gold = _gold(spark, sf).select("window_start", *EXPORTED)
+    whole = {c: F.col(c).cast("long") for c in EXPORTED[2:]}
+    path = sk.export_gold_csv(layers.text_cells(gold.withColumns(whole)), root, "run")
+    return spark.read.options(header=True, escape='"').csv(path).select("window_start", *EXPORTED)
+
+
+@query(with_views("SELECT strftime(window_start, '%Y-%m-%dT%H:%M:%S') AS window_start, machine_id_std FROM context ORDER BY machine_id_std, window_start LIMIT 40 OFFSET 25", "context"))
+def gold_csv_preview(spark, sf):
+    """A page of the CSV copy, found through the run index."""
+    root = _scratch(spark, "preview")
+    gold = layers.text_cells(_gold(spark, sf).select("machine_id_std", "window_start"))
+    sk.export_gold_csv(gold, root, "run-a")
+    stamp = spark.range(1).select(F.lit("20310203").alias("run_ts"), F.lit("run-a").alias("run_name"), F.lit("gold").alias("layer"))
+    sk.append_run(stamp, root)
+    run = layers.list_gold_csvs(spark, root).first()
+    return layers.preview_gold_csv(spark, root, run["run_name"], limit=40, offset=25)[0].select("window_start", "machine_id_std")
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS run_ts, c_name AS run_name, CAST(c_nationkey AS BIGINT) AS row_count FROM customer ORDER BY run_ts DESC LIMIT 50")
+def run_index_newest_first(spark, sf):
+    root = _scratch(spark, "runs")
+    c = table(spark, sf, "customer")
+    record = c.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("run_ts"), F.col("c_name").alias("run_name"),
+                      F.col("c_nationkey").cast("long").alias("row_count"))
+    sk.append_run(record.withColumn("row_count", F.lit(-1).cast("long")), root)
+    sk.append_run(record, root)
+    return sk.list_runs(spark, root).select("run_ts", "run_name", F.col("row_count").cast("long").alias("row_count")).limit(50)
+
+
+@query("SELECT 0 AS rows_left, count(*) AS rows_before, 9 AS columns_left FROM lineitem")
+def layer_reset(spark, sf):
+    root = _scratch(spark, "reset")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    sk.write_table(rows, root, "silver", "telemetry")
+    before = layers.read_layer(spark, root, "silver", "telemetry").count()
+    sk.reset_layer(spark, root, "silver", {"telemetry": rows.schema})
+    left = layers.read_layer(spark, root, "silver", "telemetry")
+    return left.agg(F.count(F.lit(1)).cast("int").alias("rows_left")).select(
+        "rows_left", F.lit(before).cast("long").alias("rows_before"), F.lit(len(left.columns)).alias("columns_left"))
+
+
+@query(with_views("""SELECT 'incidents_per_day' AS report, count(*) AS n FROM (SELECT DISTINCT CAST(incident_at AS DATE) FROM incidents_v)
+UNION ALL SELECT 'machines_per_criticality', count(DISTINCT criticality) FROM machine_v
+UNION ALL SELECT 'machine_component', count(DISTINCT machine_code) FROM maintenance_v
+UNION ALL SELECT 'telemetry_duplicates', 1""", "incidents_v", "machine_v", "maintenance_v"))
+def stored_layer_report(spark, sf):
+    """Bronze and silver built from the views, then the report of the stored layer."""
+    root = _scratch(spark, "report")
+    incidents = view(spark, sf, "incidents_v").withColumns({"date": F.date_format("incident_at", "yyyy-MM-dd"), "time": F.date_format("incident_at", "HH:mm:ss")})
+    sources = {
+        "telemetry": view(spark, sf, "telemetry_v"), "machines": view(spark, sf, "machine_v"), "maintenance": view(spark, sf, "maintenance_v").drop("maintenance_hour"),
+        "incidents": cl.anonymize_incident_operators(incidents.drop("incident_at", "window_start", "machine_id_std")),
+    }
+    run_layers(spark, root, sources, "bronze")
+    run_layers(spark, root, sources, "silver")
+    tables = generate_report(spark, root, "silver")
+    parts = [tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n")
+             for name in ("incidents_per_day", "machines_per_criticality", "machine_component", "telemetry_duplicates")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
