@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import epoch_hour, hour_to_ts
-from millwright.functions.storage import attach_row
+from millwright.functions.storage import attach_row, materialize
 from millwright.schemas import PIECES, PREFIX_OF_SIGNAL, SPLIT_NAMES, SPLIT_PROBS, TYPE_COLUMNS
 
 KEYS = ["machine_id_std", "window_start"]
@@ -103,3 +103,15 @@ def label_split(df: DataFrame, thresholds: DataFrame, names: Sequence[str] = SPL
 def add_temporal_split(grid: DataFrame, probs: Sequence[float] = SPLIT_PROBS) -> DataFrame:
     per_hour = grid.groupBy(epoch_hour(F.col("window_start")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return label_split(grid, split_thresholds(per_hour, probs))
+
+
+def split_hourly_grid(hourly: DataFrame) -> DataFrame:
+    """The complete grid with its split labels.
+
+    The hourly rows are written once, the thresholds come from each machine's first and last hour: neither the raw
+    rows nor the grid are read to learn them.
+    """
+    hourly = materialize(hourly, "hourly")
+    bounds = machine_bounds(hourly)
+    grid = hourly_grid(bounds).join(hourly, KEYS, "left")
+    return label_split(grid, split_thresholds(grid_rows_per_hour(bounds)))

@@ -49,16 +49,21 @@ def impute_hourly_signals(
     """Interpolate each machine's gaps; a machine without any value takes the training median.
 
     Medians come from the observed training rows, before any filling. The grid is read four times, so it
-    is written once first.
+    is written once first. An hour's mean and maximum of a signal are missing together, so they share one neighbour
+    search.
     """
+    series, of = {}, {}
+    for c in columns:
+        of[c] = c.replace("_max_1h", "_mean_1h") if c.replace("_max_1h", "_mean_1h") in columns else c
+        series.setdefault(of[c], []).append(c)
     grid = materialize(grid, "grid")
     fitted = train_medians(grid, columns, F.col("split_set") == "train")
     keyed = grid.withColumn(HOUR, epoch_hour(F.col("window_start")))
-    rows = with_neighbours(keyed, {c: [c] for c in columns}, columns if causal else (), chunk_hours=chunk_hours)
+    rows = with_neighbours(keyed, series, list(series) if causal else (), chunk_hours=chunk_hours)
     rows = attach_row(rows, fitted)
     filled = {}
     for c in columns:
-        value = interpolated(c, F.col(HOUR), F.col(f"{c}__median"), causal)
+        value = interpolated(c, F.col(HOUR), F.col(f"{c}__median"), causal, of[c])
         filled[c] = F.greatest(value, F.lit(0.0)) if c in clip else value
     return rows.withColumns(filled).select(*grid.columns)
 

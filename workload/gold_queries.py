@@ -27,7 +27,7 @@ def _hourly(spark, sf):
 
 
 def _split(spark, sf):
-    return hr.add_temporal_split(hr.complete_hourly_grid(_hourly(spark, sf)))
+    return hr.split_hourly_grid(_hourly(spark, sf))
 
 
 def _filled(spark, sf):
@@ -86,7 +86,7 @@ def split_quantiles(spark, sf):
 
 @query(with_views(f"SELECT {KEYS}, split_set FROM split", "split"))
 def temporal_split(spark, sf):
-    return _split(spark, sf).select("machine_id_std", "window_start", "split_set")
+    return hr.add_temporal_split(hr.complete_hourly_grid(_hourly(spark, sf))).select("machine_id_std", "window_start", "split_set")
 
 
 @query(with_views(f"SELECT {rs(HOURLY_COLUMNS)} FROM med", "med"))
