@@ -22,7 +22,7 @@ from millwright.llm.text import chunks, hashes, mix, pair, repeats_within, words
 BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows the weights and the calibration are fitted on, at most: those with the smallest hashes.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2400
 #: Every so manieth of them calibrates.
 CALIBRATE_EVERY = 4
 PENALTY = 1e-4
@@ -119,7 +119,7 @@ def repeated_lines(text: bytes) -> int:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(label, buckets, values): the sparse features of (text, label) rows."""
+    """(label, mark, buckets, values): the sparse features of (text, label, mark) rows."""
 
     def run(batches):
         for batch in chunks(batches):
@@ -131,11 +131,11 @@ def _features(docs: DataFrame) -> DataFrame:
                 where.append(np.flatnonzero(dense).astype(np.int32))
                 what.append(dense[where[-1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float32()))],
-                ["label", "buckets", "values"],
+                [batch.column("label"), batch.column("mark"), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float32()))],
+                ["label", "mark", "buckets", "values"],
             )
 
-    return docs.mapInArrow(run, "label double, buckets array<int>, values array<float>")
+    return docs.mapInArrow(run, "label double, mark long, buckets array<int>, values array<float>")
 
 
 def _logistic(z):
@@ -185,33 +185,35 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).na.drop()
         .groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
-        .orderBy(F.xxhash64("id"), "id").limit(train_rows)
+        .withColumn("mark", F.xxhash64("id")).orderBy("mark", "id").limit(train_rows)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _features(texts.join(F.broadcast(chosen), "id").select("text", "label")).toArrow()
+    found = _features(texts.join(F.broadcast(chosen), "id").select("text", "label", "mark")).toArrow()
     y = found.column("label").to_numpy()
     width = 3 * BUCKETS
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 1.0
         return Model(np.zeros(width), 0.0, 1.0, float(np.log(share / (1 - share))) if share < 1 else 60.0)
-    counts = pc.list_value_length(found.column("buckets")).to_numpy()
-    where = found.column("buckets").combine_chunks().flatten().to_numpy()
-    what = found.column("values").combine_chunks().flatten().to_numpy().astype(np.float64)
-    rows = np.repeat(np.arange(len(y)), counts)
-    # rows arrive in no fixed order: which of them calibrate depends on what they are, not on where they came
-    mark = np.bincount(rows, mix(where.astype(np.uint64)).astype(np.float64) % 9973 * what, len(y))
-    rank = np.argsort(np.argsort(mark, kind="stable"))
-    hold = rank % CALIBRATE_EVERY == 0
+    hold = found.column("mark").to_numpy() % CALIBRATE_EVERY == 0
     if len(set(y[~hold])) < 2:
-        hold[:] = False
-    place = np.cumsum(~hold) - 1
-    learn = ~hold[rows]
-    weights, bias = _fit_weights(place[rows[learn]], where[learn], what[learn], y[~hold], width)
-    z = np.bincount(rows, weights[where] * what, len(y)) + bias
-    slope, shift = _fit_curve(z[hold], y[hold]) if len(set(y[hold])) == 2 else (1.0, 0.0)
+        hold = np.zeros(len(y), bool)
+    learning, calibrating = (_sparse(found.filter(pa.array(part))) for part in (~hold, hold))
+    del found
+    weights, bias = _fit_weights(*learning, y[~hold], width)
+    rows, where, what = calibrating
+    z = np.bincount(rows, weights[where] * what, int(hold.sum())) + bias
+    slope, shift = _fit_curve(z, y[hold]) if len(set(y[hold])) == 2 else (1.0, 0.0)
     return Model(weights, bias, slope, shift)
 
 
+def _sparse(found: pa.Table):
+    """(row, bucket, value) of every entry."""
+    counts = pc.list_value_length(found.column("buckets")).to_numpy()
+    flat = (found.column(c).combine_chunks() for c in ("buckets", "values"))
+    where, what = (np.concatenate([c.flatten().to_numpy() for c in getattr(x, "chunks", [x])] or [np.zeros(0, np.int32)]) for x in flat)
+    return np.repeat(np.arange(len(counts), dtype=np.int32), counts), where, what
+
+
 def apply_rules(docs: DataFrame, model: Model, text_col: str = "text", out: str = "quality_rules", keep_from: float = KEEP_FROM) -> DataFrame:
     """All rows and columns of ``docs`` with a struct column ``out`` (see ``SCORED``).
 
