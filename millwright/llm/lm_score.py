@@ -1,7 +1,7 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token after its two predecessors is a mixture of four estimates: the trigram's share of its
-context, the bigram's share of its own, the token's share of all tokens, and a uniform one. The mixture weights depend
+The probability of a token after its predecessors is a mixture of estimates: the trigram's share of its context (if
+trigrams are counted), the bigram's share of its own, the token's share of all tokens, and a uniform one. The mixture weights depend
 on how often the context was seen; they are learned by expectation-maximisation on counts deleted from the training
 part: the n-grams of one fold of texts are predicted from the counts of the other folds. Scores then use all training
 counts.
@@ -29,6 +29,8 @@ from millwright.llm.text import chunks, hashes, mix, pair, words
 
 #: Texts whose id has this crc32 remainder are scored only.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
+#: Bigrams are the longest n-grams by default; 3 adds trigrams, at more than twice the exchange.
+ORDER = 2
 BLOCK_TOKENS = 1_000_000
 RANGE_GRAMS = 1_500_000
 #: Frequencies 1, 2-3, 4-7, ... of the context of two tokens have their own mixture weights; where it was never seen,
@@ -95,7 +97,7 @@ def _blocks(docs: DataFrame, id_type: str, block_tokens: int) -> DataFrame:
 class _Grams:
     """The n-grams of a block: tokens with the ends, beginnings, bigrams and trigrams. Odd hashes are tokens."""
 
-    def __init__(self, lengths, vocab: bytes, codes: bytes):
+    def __init__(self, lengths, vocab: bytes, codes: bytes, order: int):
         self.lengths = np.asarray(lengths, np.int64)
         token = (np.frombuffer(vocab, np.uint64) | np.uint64(1))[_unpacked(codes, np.uint32)]
         ends = np.cumsum(self.lengths)
@@ -108,10 +110,11 @@ class _Grams:
         is_word[last] = False
         tokens = np.full(len(token) + n, _END, np.uint64)
         tokens[is_word] = token
-        two = self._after(tokens, np.full(n, _BEGIN), tokens)
-        three = self._after(two, np.full(n, _BEGIN), tokens ^ _END)
-        self.n = len(tokens)
-        grams = np.concatenate([tokens, np.full(n, _BEGIN, np.uint64), two, three])
+        self.n, self.order = len(tokens), order
+        grams = [tokens, np.full(n, _BEGIN, np.uint64), self._after(tokens, np.full(n, _BEGIN), tokens)]
+        if order == 3:
+            grams.append(self._after(grams[2], np.full(n, _BEGIN), tokens ^ _END))
+        grams = np.concatenate(grams)
         self.distinct, self.at, self.count = np.unique(grams, return_inverse=True, return_counts=True)
 
     def _before(self, values, at_first):
@@ -133,9 +136,11 @@ class _Grams:
     def by_token(self, counts: np.ndarray):
         """Counts of each token, its context, the bigram, the context of two tokens, and the trigram."""
         n, texts = self.n, len(self.lengths)
-        token, two, three = counts[self.at[:n]], counts[self.at[n + texts:2 * n + texts]], counts[self.at[2 * n + texts:]]
+        token, two = counts[self.at[:n]], counts[self.at[n + texts:2 * n + texts]]
         begin = counts[self.at[n:n + texts]]
-        return token, self._before(token, begin), two, self._before(two, begin), three
+        if self.order == 2:  # as if no context of two tokens had ever been seen
+            return token, self._before(token, begin), two, np.zeros_like(two), np.zeros_like(two)
+        return token, self._before(token, begin), two, self._before(two, begin), counts[self.at[2 * n + texts:]]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -148,7 +153,7 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
+def _counted(blocks: DataFrame, ranges: int, order: int) -> DataFrame:
     """(block, part, total, deleted, types): the training and the deleted counts of every n-gram of every block.
 
     ``types`` adds up to the number of distinct training tokens.
@@ -157,7 +162,7 @@ def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                grams = _Grams(row["lengths"], row["vocab"], row["codes"])
+                grams = _Grams(row["lengths"], row["vocab"], row["codes"], order)
                 cuts = grams.cuts(ranges)
                 parts = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                 kind = row["kind"]
@@ -218,7 +223,7 @@ def _shares(counts, n_tokens):
     return share(three, context_two), share(two, context), token / max(n_tokens, 1)
 
 
-def _evidence(blocks: DataFrame, counted: DataFrame, kept_tokens: int) -> pa.Table:
+def _evidence(blocks: DataFrame, counted: DataFrame, kept_tokens: int, order: int) -> pa.Table:
     """How many deleted tokens have each (bucket, binned trigram, bigram and token share)."""
     names = ("bucket", "three", "two", "one")
 
@@ -227,7 +232,7 @@ def _evidence(blocks: DataFrame, counted: DataFrame, kept_tokens: int) -> pa.Tab
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        grams = _Grams(row["lengths"], row["vocab"], row["codes"])
+        grams = _Grams(row["lengths"], row["vocab"], row["codes"], order)
         counts = grams.by_token(_answers(right, "total") - _answers(right, "deleted"))
         columns = [_bucket(counts[1], counts[3]), *map(binned, _shares(counts, kept_tokens))]
         found, n = np.unique(np.stack(columns), axis=1, return_counts=True)
@@ -275,14 +280,16 @@ def mixture_weights(evidence: pa.Table, vocabulary: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS,
-          range_grams: int = RANGE_GRAMS) -> DataFrame:
+          range_grams: int = RANGE_GRAMS, order: int = ORDER) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learned from the texts whose crc32(id as text) mod 7 is not 2; all are scored. ``base_score`` is the add-one
-    unigram log10 probability, ``score`` the mixture's. A null text is an empty one: a single end token. A null id
+    unigram log10 probability, ``score`` the mixture's; ``order`` is 2 or 3. A null text is an empty one: a single end token. A null id
     counts as a training row. Repeated rows are counted and scored each. An empty table gives no rows. Where there
     is no training row, scores come from the uniform estimate alone. Other columns of ``docs`` are not read.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     id_type = docs.schema[id_col].dataType.simpleString()
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS, F.lit(0))
     kind = F.when(fold == HELD_OUT, _KINDS["held"]).when(fold == DELETED, _KINDS["deleted"]).otherwise(_KINDS["other"])
@@ -292,15 +299,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     tokens = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x) + F.size("lengths")
     sums = {r["kind"]: r["n"] for r in blocks.groupBy("kind").agg(F.sum(tokens).alias("n")).collect()}
     train_tokens = sum(n for k, n in sums.items() if k != _KINDS["held"])
-    ranges = max(1, math.ceil(3 * sum(sums.values()) / range_grams))
-    counted = materialize(_counted(blocks, ranges), "lm-counts")
+    ranges = max(1, math.ceil(order * sum(sums.values()) / range_grams))
+    counted = materialize(_counted(blocks, ranges, order), "lm-counts")
     vocabulary = counted.agg(F.sum("types")).first()[0] or 0
-    evidence = _evidence(blocks, counted, sums.get(_KINDS["other"], 0))
+    evidence = _evidence(blocks, counted, sums.get(_KINDS["other"], 0), order)
     weights = mixture_weights(evidence, vocabulary)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        grams = _Grams(row["lengths"], row["vocab"], row["codes"])
+        grams = _Grams(row["lengths"], row["vocab"], row["codes"], order)
         counts = grams.by_token(_answers(right, "total"))
         w = weights[_bucket(counts[1], counts[3])]
         log = np.log10(sum(w[:, k] * share for k, share in enumerate(_shares(counts, train_tokens))) + w[:, 3] / (vocabulary + 1))

@@ -46,9 +46,10 @@ def test_words_of_slices(lower):
     assert seen == 60
 
 
-def test_scores(spark):
-    found = lm_score.score(rows(spark), block_tokens=40, range_grams=50).collect()
-    again = {(r.id, r.n_tokens, round(r.score, 6)) for r in lm_score.score(rows(spark)).collect()}
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores(spark, order):
+    found = lm_score.score(rows(spark), block_tokens=40, range_grams=50, order=order).collect()
+    again = {(r.id, r.n_tokens, round(r.score, 6)) for r in lm_score.score(rows(spark), order=order).collect()}
     assert len(found) == len(ODD)
     assert {(r.id, r.n_tokens, round(r.score, 6)) for r in found} == again  # neither block nor range sizes matter
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
