@@ -104,13 +104,20 @@ def _resembling(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a string, b string")
 
 
+def _named(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(same, first, component) of every class."""
+    member = components(linked).withColumnRenamed("node", "same")
+    return classes.select("same", "first").join(member, "same", "left").select("same", "first", F.coalesce("component", "same").alias("component"))
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """(id, mark, first) for every row: its text's hash, and the smallest (id, mark) of its group.
 
     Groups are connected by texts of the same words and by pairs whose sets of ``shingle``-word shingles (the whole
     text, if shorter) have a Jaccard similarity of at least ``similarity``. Every class with a shared fingerprint is
-    compared with the first and the last class that share it, never all with all. Null and blank texts are one group. A null id
+    compared with the first and the last class that share it, and groups that still share one once more: never all
+    with all. Null and blank texts are one group. A null id
     takes part and is the smallest. Repeated rows are repeated; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -136,12 +143,16 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     texts = rows.join(source, rows["id"].eqNullSafe(source["w_id"]) & (rows["mark"] == source["w_mark"])).select("text", "same")
     sets = materialize(_sets(texts, shingle).dropDuplicates(["same"]), "shingle-sets")
     left, right = (sets.select(F.col("same").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "left"), ("b", "right")))
-    linked = _resembling(pairs.join(left, "a").join(right, "b"), similarity)
-
-    member = components(materialize(linked, "copies"))
-    named = classes.select("same", "first").join(member.withColumnRenamed("node", "same"), "same", "left").select(
-        "same", "first", F.coalesce("component", "same").alias("component")
-    )
+    alike = materialize(_resembling(pairs.join(left, "a").join(right, "b"), similarity), "copies")
+
+    # crowds: the groups found so far that still share a fingerprint are compared once more, each with the key's first
+    named = _named(classes, alike)
+    of_key = keyed.join(named.select("same", "component"), "same").groupBy("key", "component").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+    first = of_key.groupBy("key").agg(F.min(F.struct("component", "low")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    asked = of_key.join(first, "key").where("component <> first.component").select(F.explode(F.array("low", "high")).alias("same"), F.col("first.low").alias("other"))
+    again = asked.select(F.least("same", "other").alias("a"), F.greatest("same", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialize(_resembling(again.join(left, "a").join(right, "b"), similarity), "copies")
+    named = _named(classes, alike.union(more))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("same", F.col("least").alias("first"))
     return sketches.select("id", "mark", "same").join(named, "same").select("id", "mark", "first")
