@@ -3,13 +3,16 @@
 Texts with the same words are one class. Candidates of different words come from two kinds of fingerprints: those of
 whole texts, linked by the pigeonring filter, and those of parts of a text. A part is what a hash picks of its distinct
 shingles, four or five of them; few edits leave many parts of a text as they were, while a fingerprint of the whole
-moves by more bits than any selective filter allows (a resemblance of 0.8 is about ten of 64). Sharing a fingerprint is
-checked on the full shingle sets, so nothing below the wanted resemblance is ever linked.
+moves by more bits than any selective filter allows (a resemblance of 0.8 is about ten of 64). Short texts have too few
+parts for that; theirs are all pairs of the first shingles in the order of their hashes, of which similar sets always
+have one in common. Sharing a fingerprint is checked on the full shingle sets, so nothing below the wanted resemblance
+is ever linked.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from millwright.llm.text import chunks, mix, pair
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles of a part at most, on average, and parts taken of a text.
 PART_SHINGLES, PARTS = 6, 24
+#: Sets of up to so many shingles meet by pairs of their first shingles, without loss.
+SHORT = 40
 
 
 def _class(text: bytes | None) -> str:
@@ -33,6 +38,26 @@ def _class(text: bytes | None) -> str:
     return xxhash.xxh3_128_hexdigest(b" ".join((text or b"").lower().split()))
 
 
+def _pair_keys(distinct: np.ndarray, similarity: float) -> list[int]:
+    """One key for each pair of the first shingles of a set, by the order of their scrambled hashes.
+
+    Of a set of n, a similar one holds at least ``similarity`` * n = m. Without the last m - 2 of either set, the two
+    still have the first two common shingles in common.
+    """
+    held = math.ceil(similarity * len(distinct) - 1e-9)
+    first = np.sort(mix(distinct))[: len(distinct) - max(held, 1) + 2]
+    if held < 2:
+        return list(first)
+    left, right = np.array(list(combinations(range(len(first)), 2))).T
+    return list(pair(first[left], first[right]))
+
+
+def _keys(distinct: np.ndarray, similarity: float) -> list[int]:
+    """Two sets that resemble each other are both short enough for pairs, or both long enough for parts."""
+    short = _pair_keys(distinct, similarity) if len(distinct) * similarity <= SHORT else []
+    return short + (_part_keys(distinct, similarity) if len(distinct) > SHORT else [])
+
+
 def _part_keys(distinct: np.ndarray, similarity: float) -> list[int]:
     """Fingerprints of the parts of a set of shingle hashes, each mixed with its place.
 
@@ -64,7 +89,7 @@ def _sketches(docs: DataFrame, id_type: str, shingle: int, similarity: float) ->
                 hashed = shingle_hashes(text or b"", shingle)
                 same.append(_class(text))
                 fps.append(fingerprint_bits(hashed) if len(hashed) else 0)
-                keys.append(np.array(_part_keys(np.unique(hashed), similarity) if len(hashed) else [], np.uint64).view(np.int64))
+                keys.append(np.array(_keys(np.unique(hashed), similarity) if len(hashed) else [], np.uint64).view(np.int64))
             columns = [batch.column("id"), batch.column("mark"), pa.array(same), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "same", "fp", "keys"])
 

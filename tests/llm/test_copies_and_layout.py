@@ -132,6 +132,17 @@ def test_near_copies(spark):
     assert near_copies.keep_one_of_each(rows(spark, [])).count() == 0
 
 
+def test_keys_of_short_texts():
+    rng = np.random.default_rng(8)
+    for size in range(1, 61):
+        for _ in range(300):
+            other = int(rng.integers(size, int(size / 0.8) + 1))
+            common = min(size, -(-8 * (size + other) // 18))  # the fewest that make 0.8
+            shingles = rng.integers(0, 1 << 63, size + other - common, dtype=np.uint64)
+            a, b = (set(near_copies._keys(np.unique(x), 0.8)) for x in (shingles[:size], shingles[size - common:]))
+            assert a & b or size > near_copies.SHORT, (size, other, common)
+
+
 def plain_drops(data, min_docs=3):
     docs = {(i, v) for i, v in data}
     leaves = collections.defaultdict(list)
