@@ -31,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PART_SHINGLES, PARTS = 6, 24
 #: Sets of up to so many shingles meet by pairs of their first shingles, without loss.
 SHORT = 40
+#: Of a key with groups still apart, so many neighbours are compared in the first round; each round takes so many times more.
+ROUND, GROWTH = 16, 8
 
 
 def _class(text: bytes | None) -> str:
@@ -80,20 +82,25 @@ def _part_keys(distinct: np.ndarray, similarity: float) -> list[int]:
 
 
 def _sketches(docs: DataFrame, id_type: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, mark, same, fp, keys) of (id, mark, text) rows."""
+    """(id, mark, same, fp, n, keys) of (id, mark, text) rows; ``n`` distinct shingles."""
 
     def run(batches):
         for batch in chunks(batches):
-            same, fps, keys = [], [], []
+            same, fps, sizes, keys = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 hashed = shingle_hashes(text or b"", shingle)
                 same.append(_class(text))
                 fps.append(fingerprint_bits(hashed) if len(hashed) else 0)
-                keys.append(np.array(_keys(np.unique(hashed), similarity) if len(hashed) else [], np.uint64).view(np.int64))
-            columns = [batch.column("id"), batch.column("mark"), pa.array(same), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "same", "fp", "keys"])
+                distinct = np.unique(hashed)
+                sizes.append(len(distinct))
+                keys.append(np.array(_keys(distinct, similarity) if len(hashed) else [], np.uint64).view(np.int64))
+            columns = [
+                batch.column("id"), batch.column("mark"), pa.array(same), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "same", "fp", "n", "keys"])
 
-    return docs.mapInArrow(run, f"id {id_type}, mark long, same string, fp long, keys array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, mark long, same string, fp long, n int, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -129,25 +136,61 @@ def _resembling(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a string, b string")
 
 
+def _named(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``classes`` with the component of each."""
+    member = components(linked).withColumnRenamed("node", "same")
+    return classes.join(member, "same", "left").withColumn("component", F.coalesce("component", "same"))
+
+
+def _still_apart(crowds: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are in several components; ``main`` marks those in the key's largest one."""
+    at = _named(crowds, linked)
+    sizes = at.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).where("parts > 1")
+    at = at.join(largest.select("key", F.col("largest.component").alias("of_main")), "key")
+    return at.select("key", "same", "n", "place", "members", "component", (F.col("component") == F.col("of_main")).alias("main"))
+
+
+def _pairs_between(apart: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
+    """(a, b): each class outside its key's largest component with those ``first`` to ``last`` places away, round the key.
+
+    The distance is the same from both sides, so it doesn't matter which one is the largest now or later. Pairs inside a component are left out, and those whose sizes alone tell them apart.
+    """
+    near, far = (apart.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("same", "n", "place", "members", "component", "main"))) for side in "xy")
+    steps = F.abs(F.col("place_y") - F.col("place_x"))
+    steps = F.least(steps, F.col("members_x") - steps)
+    sizes = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
+    both = near.where("not main_x").join(far, "key").where(steps.between(first, last) & (F.col("component_x") != F.col("component_y")) & sizes)
+    return both.select(F.least("same_x", "same_y").alias("a"), F.greatest("same_x", "same_y").alias("b")).distinct()
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """(id, mark, first) for every row: its text's hash, and the smallest (id, mark) of its group.
 
     Groups are connected by texts of the same words and by pairs whose sets of ``shingle``-word shingles (the whole
     text, if shorter) have a Jaccard similarity of at least ``similarity``. Every class with a shared fingerprint is
-    compared with the first and the last class that share it, never all with all. Null and blank texts are one group. A null id
-    takes part and is the smallest. Repeated rows are repeated; an empty table gives no rows.
+    compared with the first and the last class that share it. Then only fingerprints whose classes are still in several
+    groups count: rounds of more and more neighbours compare their classes across groups, until every two classes that
+    share a fingerprint are in one group or were compared. Null and blank texts are one group. A null id takes part
+    and is the smallest. Repeated rows are repeated; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     sketches = materialize(_sketches(rows, id_type, shingle, similarity), "sketches")
     classes = materialize(
-        sketches.groupBy("same").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes"
+        sketches.groupBy("same").agg(
+            F.min(F.struct("id", "mark")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        ), "classes"
     )
     whole = F.array(F.xxhash64(F.lit("whole"), "fp"))
-    keyed = classes.select("same", F.explode(F.concat("keys", whole)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low < high")
-    asked = keyed.join(shared, "key").select("same", F.explode(F.array("low", "high")).alias("other")).where("same <> other")
+    keyed = classes.select("same", "n", F.explode(F.concat("keys", whole)).alias("key"))
+    of_key = Window.partitionBy("key")
+    crowds = materialize(
+        keyed.withColumn("place", F.row_number().over(of_key.orderBy("same"))).withColumn("members", F.count("*").over(of_key)).where("members > 1"), "crowds"
+    )
+    shared = crowds.groupBy("key").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+    asked = crowds.join(shared, "key").select("same", F.explode(F.array("low", "high")).alias("other")).where("same <> other")
     pairs = asked.select(F.least("same", "other").alias("a"), F.greatest("same", "other").alias("b"))
     of_fp = classes.groupBy("fp").agg(F.min("same").alias("same"))
     near = links(of_fp.select("fp"))
@@ -161,12 +204,22 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     texts = rows.join(source, rows["id"].eqNullSafe(source["w_id"]) & (rows["mark"] == source["w_mark"])).select("text", "same")
     sets = materialize(_sets(texts, shingle).dropDuplicates(["same"]), "shingle-sets")
     left, right = (sets.select(F.col("same").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "left"), ("b", "right")))
-    linked = _resembling(pairs.join(left, "a").join(right, "b"), similarity)
-
-    member = components(materialize(linked, "copies"))
-    named = classes.select("same", "first").join(member.withColumnRenamed("node", "same"), "same", "left").select(
-        "same", "first", F.coalesce("component", "same").alias("component")
-    )
+    linked = materialize(_resembling(pairs.join(left, "a").join(right, "b"), similarity), "copies")
+
+    done, step, found = 0, ROUND, True
+    while True:
+        if found:
+            crowds = apart = materialize(_still_apart(crowds.select("key", "same", "n", "place", "members"), linked), "apart")
+        most = apart.agg(F.max("members")).first()[0] or 0
+        if done >= most // 2:
+            break
+        between = materialize(_pairs_between(apart, done + 1, done + step, similarity), "candidates")
+        more = materialize(_resembling(between.join(left, "a").join(right, "b"), similarity), "copies")
+        found = not more.isEmpty()
+        linked = linked.union(more) if found else linked
+        done, step = done + step, step * GROWTH
+
+    named = _named(classes.select("same", "first"), linked)
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     named = named.join(least, "component").select("same", F.col("least").alias("first"))
     return sketches.select("id", "mark", "same").join(named, "same").select("id", "mark", "first")

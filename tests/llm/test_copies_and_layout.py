@@ -143,6 +143,39 @@ def test_keys_of_short_texts():
             assert a & b or size > near_copies.SHORT, (size, other, common)
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(11)
+    data, n = [], 0
+    for length in range(12, 29):
+        for text in sentences(length, 6, length):
+            words = text.split()
+            for edited in (words, [*words, "more", "words"], [*words[:-1], "last"], ["first", *words[1:]], [*words, f"w{rng.randrange(9)}"]):
+                data.append((n, " ".join(edited)))
+                n += 1
+    sets = [{tuple(v.split()[k:k + 5]) for k in range(len(v.split()) - 4)} for _, v in data]
+    alike = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = near_copies.near_copy_groups(rows(spark, data)).select("id", "first.id").toDF("id", "first").collect()
+    assert {r.id: r.first for r in found} == groups_of(alike, range(n))
+
+
+def test_near_copies_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "ROUND", 1)
+    monkeypatch.setattr(near_copies, "GROWTH", 3)
+    rng = random.Random(3)
+    data = []
+    for n in range(90):
+        words = [f"b{k}" for k in range(30)]
+        for k in rng.sample([*range(4), *range(12, 16), *range(26, 30)], 2):
+            words[k] = f"e{rng.randrange(2)}"
+        data.append((n, " ".join(words)))
+    sets = [{tuple(v.split()[k:k + 5]) for k in range(len(v.split()) - 4)} for _, v in data]
+    alike = [(a, b) for a in range(len(data)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = groups_of(alike, range(len(data)))
+    assert 5 < len(set(root.values())) < 80
+    found = near_copies.near_copy_groups(rows(spark, data)).select("id", "first.id").toDF("id", "first").collect()
+    assert {r.id: r.first for r in found} == root
+
+
 def plain_drops(data, min_docs=3):
     docs = {(i, v) for i, v in data}
     leaves = collections.defaultdict(list)
