@@ -37,6 +37,8 @@ _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text inside these is no text of the page.
 SILENT = frozenset("script style noscript template iframe object svg canvas select option textarea button".split())
+#: Inside these only their own end tag is markup.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in "script style noscript textarea iframe".split()}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strong strike sub sup time tt u var wbr".split())
 #: A start tag of the key closes open tags of these names, up to the nearest container.
 CLOSES = {
@@ -88,8 +90,9 @@ class _Page:
         self.open: list[tuple[str, tuple, str, str]] = []
         self.run, self.linked, self.size = [], 0, 0
         self.silent, self.in_link, self.keep_paths = 0, 0, keep_paths
-        for found in _TOKEN.finditer(source):
-            text = found[4]
+        at = 0
+        while found := _TOKEN.match(source, at):
+            at, text = found.end(), found[4]
             if text is not None:
                 if not self.silent:
                     self.run.append(text)
@@ -97,6 +100,9 @@ class _Page:
                     self.linked += len(text) if self.in_link else 0
             elif found[2]:
                 tag = found[2].lower()
+                if tag in RAW_END and not found[1] and not found[3].endswith("/"):
+                    ended = RAW_END[tag].search(source, at)
+                    at = ended.start() if ended else len(source)
                 if self.silent:  # only its own end tag ends a silent element
                     self.silent = 0 if found[1] and tag == self.silent_tag else self.silent
                 elif found[1]:

@@ -411,6 +411,18 @@ def test_pages(spark):
     assert html_text.extract_main_text(table.limit(0), html_text.train(table.limit(0))).count() == 0
 
 
+def test_scripts_with_comparisons():
+    for head in (
+        "<script>for(i=0;i<n;i++){x()}</script>", "<SCRIPT async>if (a<b && c) { d('<p>no</p>') }</Script >", "<style>a<b{}</style/>",
+        "<noscript><img src='x'></noscript>", "<script>s = '<!--'; t = 1<n</script>", "<iframe>i<n</iframe>", "<textarea>i<n \"</textarea>",
+        "<template><script>x = '</template>' + (i<n)</script><p>no</p></template>", "<svg><style>a<b{}</style><text>no</text></svg>",
+    ):
+        page = html_text._Page(f"<html><head>{head}</head><body><p>The story.</p><script>y()</script><p>Its end.</p></body></html>")
+        assert page.texts == ["The story.", "Its end."], head
+    assert html_text._Page("<p>One.</p><script>i<n; never ended <p>no</p>").texts == ["One."]
+    assert html_text._Page("<p>One.</p><script>x('</scripted>'); i<n</script><p>Two.</p>").texts == ["One.", "Two."]
+
+
 def test_best_labelling():
     rng = np.random.default_rng(4)
     field = html_text.Field(rng.normal(size=5), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=2))
