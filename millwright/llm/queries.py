@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontaminate, html_text, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash, token_count
+from millwright.llm import (
+    conversation_repair, decontaminate, html_text, license_scan, line_dedup, lm_score, packing, quality, sharding, simhash,
+    token_alignment, token_count, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +103,35 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     read = html_text.extract_main_text(pages.select("page_id", "url", "html"), html_text.train(pages), out="main_text")
     return read.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's own rule, and blocks that reach it through redirects and canonical links."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "url_filter.*")
+
+
+ORACLES["op11_url_filter"] = url_filter.ORACLE
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them, and their cheapest repair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.audits(conversation_repair.repair(conversation_repair.damage(turns)))
+    every = turns.select("conv_id").distinct()
+    none = {c: F.lit(0).cast("long") for c in "gaps blank duplicate truncated illegal cost".split()}
+    none |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left").select(
+        "conv_id", *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items())
+    )
+
+
+ORACLES["op13_conversation_repair"] = conversation_repair.ORACLE
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers over every document, and how usual their links are in all documents."""
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
