@@ -28,17 +28,23 @@ TRAIN_PAGES = 200
 ROUNDS = 250
 PENALTY = 5e-5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|([^<]+|<)", re.S
-)
+#: A quote opens a value right after an equals sign and nowhere else; one that never ends is a character like others.
+_ATTRIBUTES = r"(?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^>=]+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s>/]*)({_ATTRIBUTES})>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|([^<]+|<)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Text inside these is no text of the page.
-SILENT = frozenset("script style noscript template iframe object svg canvas select option textarea button".split())
-#: Inside these only their own end tag is markup.
+#: Text inside these is no text of the page, and only their own end tag is markup.
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in "script style noscript textarea iframe".split()}
+_SECTIONS = frozenset("article main section header footer nav aside form body h1 h2 h3 h4 h5 h6".split())
+_BLOCKS = _SECTIONS | frozenset("address blockquote details div dl figure hr ol p pre table ul".split())
+#: Text inside these is none either. They end with their end tag, with one of an element around them, or where a start
+#: tag of these names shows that their own end was forgotten.
+HIDDEN = {
+    "option": _BLOCKS | {"option", "optgroup"}, "select": _BLOCKS - {"hr"} | {"select"}, "button": _SECTIONS | {"button"}, "object": _SECTIONS,
+    "canvas": _SECTIONS, "svg": _BLOCKS, "template": frozenset(), "foreignobject": frozenset(),
+}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strong strike sub sup time tt u var wbr".split())
 #: A start tag of the key closes open tags of these names, up to the nearest container.
 CLOSES = {
@@ -100,11 +106,10 @@ class _Page:
                     self.linked += len(text) if self.in_link else 0
             elif found[2]:
                 tag = found[2].lower()
-                if tag in RAW_END and not found[1] and not found[3].endswith("/"):
-                    ended = RAW_END[tag].search(source, at)
-                    at = ended.start() if ended else len(source)
-                if self.silent:  # only its own end tag ends a silent element
-                    self.silent = 0 if found[1] and tag == self.silent_tag else self.silent
+                if tag in RAW_END:
+                    if not found[1] and not found[3].endswith("/"):
+                        ended = RAW_END[tag].search(source, at)
+                        at = ended.start() if ended else len(source)
                 elif found[1]:
                     self.end(tag)
                 else:
@@ -112,20 +117,26 @@ class _Page:
         self.flush()
         self.place()
 
+    def cut(self, depth):
+        del self.open[depth:]
+        if self.silent:
+            self.silent = sum(o[0] in HIDDEN for o in self.open)
+
     def start(self, tag, attributes):
-        if tag in SILENT:
-            if not attributes.endswith("/"):
-                self.silent, self.silent_tag = 1, tag
-            return
-        if tag == "br":
+        while self.silent:
+            depth = next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in HIDDEN)
+            if tag not in HIDDEN[self.open[depth][0]]:
+                break
+            self.cut(depth)
+        if tag == "br" and not self.silent:
             self.run.append(" ")
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HIDDEN and not self.silent:
             self.flush()
             closes = CLOSES.get(tag, ())
             for depth in range(len(self.open) - 1, -1, -1):
                 name = self.open[depth][0]
                 if name in closes:
-                    del self.open[depth:]
+                    self.cut(depth)
                 elif name in CONTAINERS:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in TAGS:
@@ -143,15 +154,17 @@ class _Page:
             near = next((k for k in kinds if k != "content"), "content")
         new = tuple(FEATURES[n] for n in dict.fromkeys(own) if FEATURES[n] not in above)
         self.open.append((tag, above + new if new else above, attributes, near))
+        self.silent += tag in HIDDEN
 
     def end(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
-                if tag not in INLINE:
-                    self.flush()
-                else:
+                hidden = any(o[0] in HIDDEN for o in self.open[:depth + 1]) if self.silent else False
+                if tag in INLINE:
                     self.in_link -= tag == "a"
-                del self.open[depth:]
+                elif not hidden:
+                    self.flush()
+                self.cut(depth)
                 return
             if tag in INLINE and self.open[depth][0] not in INLINE:
                 return
@@ -353,11 +366,12 @@ def _expectations(gain, mask, labels, step, begin, end):
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Field:
     """The field that fits at most ``train_pages`` pages best, by gradient steps of adaptive size.
 
-    Without a page, weights are zero and nothing is main text.
+    A repeated id gives one of its pages. Without a page, weights are zero and nothing is main text.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("id IS NOT NULL AND html IS NOT NULL")
     ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(train_pages).distinct()
-    found = sorted((r["labels"], r["features"]) for r in _examples(rows.join(F.broadcast(ids), "id").orderBy("id").coalesce(1).select("html")).collect())
+    chosen = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+    found = sorted((r["labels"], r["features"]) for r in _examples(chosen.orderBy("id").coalesce(1).select("html")).collect())
     width = len(FEATURES)
     if not found:
         return Field(np.zeros(width), np.zeros((2, 2)), np.zeros(2), np.zeros(2))

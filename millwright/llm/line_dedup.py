@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.functions.storage import materialize
 from millwright.llm.text import chunks, hashes, mix, words
@@ -113,14 +114,16 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spelt = materialize(_words_of(once).dropDuplicates(["leaf", "form"]), "forms")
 
     each = spelt.select("leaf", "form", "docs", F.posexplode("words").alias("place", "word"))
-    stays = each.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs)
+    # what is joined to a hot leaf or line is written first, so that Spark can split the join's large partitions
+    stays = materialize(each.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("have")).where(F.col("have") >= min_docs), "staying-words")
     kept = each.join(stays, ["leaf", "place", "word"], "left_semi").groupBy("leaf", "form").agg(
         F.count("*").alias("constant"), F.bit_xor(F.xxhash64("place", "word")).alias("template")
     )
-    of_line = shared.join(kept, ["leaf", "form"]).where(F.col("constant") >= F.lit(constant) * F.col("n"))
+    of_line = shared.join(materialize(kept, "templates"), ["leaf", "form"]).where(F.col("constant") >= F.lit(constant) * F.col("n"))
     by_doc = of_line.groupBy("leaf", "template", "id", "mark").agg(F.collect_list("line").alias("lines"))
     by_doc = materialize(by_doc, "template-lines")
     recurring = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(key).alias("first")).where(F.col("docs") >= min_docs)
+    recurring = materialize(recurring, "recurring")
     drop = by_doc.join(recurring.select("leaf", "template", "first"), ["leaf", "template"]).where(~key.eqNullSafe(F.col("first")))
     return drop.select("id", "mark", F.explode("lines").alias("line"))
 
@@ -132,16 +135,40 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document is an id with a text: rows that agree in both are one and lose the same lines. Its lines stay if it is
     the first (by id, then text hash) with their template. Lines without a word, and line ends, stay as they are.
     Null and empty texts are unchanged; a null id is an id like any other and comes first. A column already named
-    ``out`` is replaced; an empty table stays empty.
+    ``out`` is replaced, all others are kept whatever their names; an empty table stays empty.
     """
     docs = docs.drop(out)
+    gone, of, mark = (unused(n, docs.columns) for n in ("gone", "of", "mark"))
     drops = recurring_lines(docs, id_col, text_col, min_docs, constant)
-    by_row = drops.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("line").alias("__lines"))
-    mine = docs[id_col].eqNullSafe(by_row["__id"]) & (F.xxhash64(docs[text_col]) == by_row["__mark"])
-    gone = F.coalesce(F.col("__lines"), F.array().cast("array<int>"))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains(gone, k)), "\n")
-    text = F.when(F.size(gone) > 0, left).otherwise(F.col(text_col))
-    joined = docs.join(by_row, mine, "left")
-    return joined.select(
-        *(text.alias(c) if c == text_col else docs[c] for c in docs.columns), F.size(gone).cast("long").alias(out)
-    )
+    by_row = drops.groupBy(F.col("id").alias(of), F.col("mark").alias(mark)).agg(F.collect_set("line").alias(gone))
+    mine = docs[id_col].eqNullSafe(by_row[of]) & (F.xxhash64(docs[text_col]) == by_row[mark])
+    joined = docs.join(by_row, mine, "left").select(*(docs[c] for c in docs.columns), gone)
+    names, fields = docs.columns, docs.schema.fields
+
+    def run(batches):
+        for batch in batches:
+            texts, lists = batch.column(text_col), batch.column(gone)
+            dropped = pc.fill_null(pc.list_value_length(lists), 0)
+            at = np.flatnonzero(dropped.to_numpy(zero_copy_only=False))
+            if len(at):
+                new = [without(t.as_py(), set(x.values.to_pylist())) for t, x in zip(texts.take(pa.array(at)), lists.take(pa.array(at)))]
+                hit = np.zeros(len(texts), bool)
+                hit[at] = True
+                texts = pc.replace_with_mask(texts, pa.array(hit), pa.array(new, texts.type))
+            columns = [texts if n == text_col else c for n, c in zip(batch.schema.names, batch.columns) if n != gone]
+            yield pa.RecordBatch.from_arrays([*columns, dropped.cast(pa.int64())], [*names, out])
+
+    return joined.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.LongType())]))
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without the lines of these numbers."""
+    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+
+
+def unused(name: str, columns) -> str:
+    """The name, with as many underlines behind it as make it none of ``columns``, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from millwright.functions.storage import materialize
 from millwright.llm.components import components
+from millwright.llm.line_dedup import unused
 from millwright.llm.simhash import fingerprint_bits, links, shingle_hashes
 from millwright.llm.text import chunks, mix, pair
 
@@ -227,12 +228,14 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that are the first of their group of near copies: one row of each group."""
+    """The rows of ``docs``, unchanged, that are the first of their group of near copies: one row of each group.
+
+    Rows that agree in id and text count as one. All columns are kept, whatever their names; an empty table stays empty.
+    """
+    mark, of, its = (unused(n, docs.columns) for n in ("mark", "of", "its"))
     first = near_copy_groups(docs, shingle, similarity, id_col, text_col).select(
-        F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")
+        F.col("first.id").alias(of), F.col("first.mark").alias(its)
     ).distinct()
-    marked = docs.withColumn("__text_mark", F.xxhash64(text_col))
-    mine = marked[id_col].eqNullSafe(first["__id"]) & (marked["__text_mark"] == first["__mark"])
-    again = Window.partitionBy(id_col, "__text_mark").orderBy(F.lit(0))
-    left = marked.join(first, mine, "left_semi").withColumn("__again", F.row_number().over(again))
-    return left.where("__again = 1").select(*docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    mine = marked[id_col].eqNullSafe(first[of]) & (marked[mark] == first[its])
+    return marked.join(first, mine, "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)

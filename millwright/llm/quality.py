@@ -1,6 +1,6 @@
 """Quality rules: countable base rules, and a calibrated logistic regression over hashed n-grams.
 
-The regression sees three families of features: word unigrams, word bigrams and runs of one to three UTF-8 bytes.
+The regression sees three families of features: word unigrams, word bigrams and runs of one to three characters.
 Each family is hashed into ``BUCKETS`` buckets and a bucket's value is the square root of its share, so every text
 has the same length in each family. It is fitted on a bounded sample of labelled rows; its scores become
 probabilities by a logistic curve fitted on labelled rows that the weights have not seen.
@@ -40,8 +40,8 @@ _SPAN = 1 << 20
 SCORED = T.StructType([
     *(T.StructField(name, T.LongType()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
     T.StructField("base_failed", T.BooleanType()),
-    T.StructField("probability", T.DoubleType()),
     T.StructField("kept", T.BooleanType()),
+    T.StructField("probability", T.DoubleType()),
 ])
 
 
@@ -58,27 +58,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (logit + self.bias) + self.shift, -60, 60)))
 
 
-def _byte_runs(data: np.ndarray) -> np.ndarray:
-    """How often each bucket is hit by the runs of one to three bytes."""
+def character_runs(text: str) -> np.ndarray:
+    """How often each bucket is hit by the runs of one to three characters (code points)."""
     total = np.zeros(BUCKETS, np.int64)
-    drop, factor = np.uint32(32 - BUCKET_BITS), np.uint32(0x9E3779B1)
-    for start in range(0, len(data), _SPAN):
-        run = data[start:start + _SPAN + 2].astype(np.uint32)
+    drop, factor = np.uint64(64 - BUCKET_BITS), np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(text), _SPAN):
+        run = np.frombuffer(text[start:start + _SPAN + 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
         one = run
         for order in range(3):
-            fresh = one[: max(0, min(_SPAN, len(data) - start - order))]
-            total += np.bincount((fresh * factor + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) >> drop, minlength=BUCKETS)
-            one = (one[:-1] << np.uint32(8)) | run[order + 1:]
+            fresh = one[: max(0, min(_SPAN, len(text) - start - order))]
+            total += np.bincount((((fresh << np.uint64(2)) + np.uint64(order)) * factor >> drop).astype(np.int64), minlength=BUCKETS)
+            one = (one[:-1] << np.uint64(20)) ^ run[order + 1:]
     return total
 
 
-def _families(data: np.ndarray, word_hashes: np.ndarray):
+def _families(text: bytes, word_hashes: np.ndarray):
     """The bucket counts of the three families of one text."""
     drop = np.uint64(64 - BUCKET_BITS)
     yield np.bincount((word_hashes >> drop).astype(np.int64), minlength=BUCKETS)
     two = pair(word_hashes[:-1], word_hashes[1:])
     yield np.bincount((two >> drop).astype(np.int64), minlength=BUCKETS)
-    yield _byte_runs(data)
+    yield character_runs(text.decode())
 
 
 def _texts(batch: pa.RecordBatch, column: str):
@@ -126,7 +126,7 @@ def _features(docs: DataFrame) -> DataFrame:
             raw, codes, starts, hashed, _ = _texts(batch, "text")
             where, what = [], []
             for k, text in enumerate(raw):
-                found = list(_families(np.frombuffer(text, np.uint8), hashed[codes[starts[k]:starts[k + 1]]]))
+                found = list(_families(text, hashed[codes[starts[k]:starts[k + 1]]]))
                 dense = np.concatenate([np.sqrt(c / max(1, c.sum())) for c in found]).astype(np.float32)
                 where.append(np.flatnonzero(dense).astype(np.int32))
                 what.append(dense[where[-1]])
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     """The calibrated regression, from at most ``train_rows`` labelled rows, chosen by the hash of their id.
 
     Labels that are null, or of rows without a document, are left out; of contradicting labels of an id the mean
-    decides. Without labels everything counts as good; with labels of one class the answer is that class's
+    decides, and of the rows of an id one is read. Without labels everything counts as good; with labels of one class the answer is that class's
     smoothed share, whatever the text.
     """
     chosen = (
@@ -188,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
         .withColumn("mark", F.xxhash64("id")).orderBy("mark", "id").limit(train_rows)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _features(texts.join(F.broadcast(chosen), "id").select("text", "label", "mark")).toArrow()
+    training = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"), F.first("mark").alias("mark"))
+    found = _features(training.select("text", "label", "mark")).toArrow()
     y = found.column("label").to_numpy()
     width = 3 * BUCKETS
     if not len(y) or y.min() == y.max():
@@ -233,15 +235,14 @@ def apply_rules(docs: DataFrame, model: Model, text_col: str = "text", out: str
             repeats = repeated_words(word_hashes, starts)
             symbols, logits = np.zeros(len(raw), np.int64), np.zeros(len(raw))
             for k, text in enumerate(raw):
-                data = np.frombuffer(text, np.uint8)
-                symbols[k] = np.bincount(data, minlength=256) @ _SYMBOL
-                for w, c in zip(weights, _families(data, word_hashes[starts[k]:starts[k + 1]])):
+                symbols[k] = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _SYMBOL
+                for w, c in zip(weights, _families(text, word_hashes[starts[k]:starts[k + 1]])):
                     logits[k] += np.sqrt(c) @ w / np.sqrt(max(1, c.sum()))
             failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
             p = model.probability(logits)
             columns = [
                 n_words, _per_text(points[codes], starts), symbols, np.array([repeated_lines(t) for t in raw], np.int64),
-                repeats, failed, p, ~failed & (p >= keep_from),
+                repeats, failed, ~failed & (p >= keep_from), p,
             ]
             result = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=SCORED.names)
             yield pa.RecordBatch.from_arrays([*batch.columns, result], [*batch.schema.names, out])

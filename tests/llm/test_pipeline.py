@@ -66,3 +66,14 @@ def test_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    from millwright.llm import line_dedup, near_copies
+
+    data = [(k, f"one line of words here {k % 2}\nshared line of plain words number {k}", "m", "o", "g", "i", 7) for k in range(6)]
+    table = spark.createDataFrame([*data, data[0]], "doc_id long, text string, mark string, of string, Gone string, its string, dropped_lines int")
+    left = near_copies.keep_one_of_each(table)
+    assert left.columns == table.columns and {tuple(r) for r in left.collect()} <= set(data)
+    lines = line_dedup.drop_recurring_lines(table)
+    assert lines.columns == table.columns and {tuple(r)[2:6] for r in lines.collect()} == {("m", "o", "g", "i")} and lines.count() == 7

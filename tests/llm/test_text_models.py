@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import math
 import re
 import zlib
@@ -114,6 +115,23 @@ def test_quality_rules(spark):
     assert np.mean([(r.quality_rules.probability > 0.5) == ((r.doc_id - 100) % 3 > 0) for r in unseen]) > 0.97
 
 
+def test_character_runs(monkeypatch):
+    monkeypatch.setattr(quality, "_SPAN", 7)
+    key = lambda run: functools.reduce(lambda x, c: (x << 20) ^ ord(c), run, 0)
+    for text in ["", "a", "né", "日本語 and 🙂🙂 more, much more of the same"]:
+        wanted = np.zeros(quality.BUCKETS, np.int64)
+        for n in (1, 2, 3):
+            for k in range(len(text) - n + 1):
+                wanted[((((key(text[k:k + n]) << 2) + n - 1) * 0x9E3779B97F4A7C15) % (1 << 64)) >> (64 - quality.BUCKET_BITS)] += 1
+        assert (quality.character_runs(text) == wanted).all()
+
+
+def test_repeated_ids_stay_bounded(spark):
+    docs = rows(spark, [(1, f"the same id again {k}") for k in range(500)] + [(2, "a text of its own")])
+    training = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), train_rows=2)
+    assert np.isfinite(training.weights).all()
+
+
 def test_quality_without_labels(spark):
     docs, none = rows(spark), spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.quality_rules.probability > 0.99 for r in quality.apply_rules(docs, quality.fit(docs, none)).collect())
