@@ -69,7 +69,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "overlap", "answer_overlap")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "cosine", "overlap", "answer_overlap")
 
 
 @query
