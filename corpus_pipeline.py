@@ -27,8 +27,9 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("__id")).distinct()
+    """Benchmark decontamination: documents that hold a benchmark item go, except for items too short to be evidence."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = found.where(F.col("item_words") >= decontaminate.MIN_ITEM_WORDS).select(F.col("id").alias("__id")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__id"]), "left_anti")
 
 
