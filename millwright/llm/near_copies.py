@@ -32,8 +32,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 PART_SHINGLES, PARTS = 6, 24
 #: Sets of up to so many shingles meet by pairs of their first shingles, without loss.
 SHORT = 40
-#: Of a key with groups still apart, so many neighbours are compared in the first round; each round takes so many times more.
-ROUND, GROWTH = 16, 8
+#: Of a key with groups still apart, so many neighbours are compared in the first round, which joins most that belong
+#: together; each round takes so many times more.
+ROUND, GROWTH = 16, 1 << 20
+#: Words of 64 bits in the bitmap of a set's hashes: what one set has and the other lacks there bounds their similarity.
+BITMAP = 16
 
 
 def _class(text: bytes | None) -> str:
@@ -82,26 +85,46 @@ def _part_keys(distinct: np.ndarray, similarity: float) -> list[int]:
     return keys
 
 
+def _bitmap(distinct: np.ndarray) -> np.ndarray:
+    """Which of the bitmap's places the hashes of a set fall on."""
+    places = np.zeros(64 * BITMAP, bool)
+    places[(distinct % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+    return np.packbits(places).view(np.int64)
+
+
+def _can_resemble(similarity: float, words: int):
+    """Whether sets of ``n_x`` and ``n_y`` can be similar enough, by the first so many words of their bitmaps.
+
+    Each place that only one set has is a shingle of that set which the other one lacks, so similar sets always pass.
+    """
+    def lacking(a, b):
+        return sum((F.bit_count(F.col(f"bits{k}_{a}").bitwiseAND(F.bitwise_not(F.col(f"bits{k}_{b}")))) for k in range(words)), F.lit(0))
+
+    common = F.least(F.col("n_x") - lacking("x", "y"), F.col("n_y") - lacking("y", "x"))
+    return common * (1 + similarity) >= similarity * (F.col("n_x") + F.col("n_y")) - 1e-6
+
+
 def _sketches(docs: DataFrame, id_type: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, mark, same, fp, n, keys) of (id, mark, text) rows; ``n`` distinct shingles."""
+    """(id, mark, same, fp, n, bits, keys) of (id, mark, text) rows; ``n`` distinct shingles and their bitmap."""
 
     def run(batches):
         for batch in chunks(batches):
-            same, fps, sizes, keys = [], [], [], []
+            same, fps, sizes, bits, keys = [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 hashed = shingle_hashes(text or b"", shingle)
                 same.append(_class(text))
                 fps.append(fingerprint_bits(hashed) if len(hashed) else 0)
                 distinct = np.unique(hashed)
                 sizes.append(len(distinct))
+                bits.append(_bitmap(distinct))
                 keys.append(np.array(_keys(distinct, similarity) if len(hashed) else [], np.uint64).view(np.int64))
             columns = [
                 batch.column("id"), batch.column("mark"), pa.array(same), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "same", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "same", "fp", "n", "bits", "keys"])
 
-    return docs.mapInArrow(run, f"id {id_type}, mark long, same string, fp long, n int, keys array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, mark long, same string, fp long, n int, bits array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -155,13 +178,17 @@ def _still_apart(crowds: DataFrame, linked: DataFrame) -> DataFrame:
 def _pairs_between(apart: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
     """(a, b): each class outside its key's largest component with those ``first`` to ``last`` places away, round the key.
 
-    The distance is the same from both sides, so it doesn't matter which one is the largest now or later. Pairs inside a component are left out, and those whose sizes alone tell them apart.
+    The distance is the same from both sides, so it doesn't matter which one is the largest now or later. Pairs inside a
+    component are left out, and those whose sizes or bitmaps alone tell them apart.
     """
-    near, far = (apart.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("same", "n", "place", "members", "component", "main"))) for side in "xy")
+    bits = [F.col("bits")[k].alias(f"bits{k}") for k in range(BITMAP)]
+    apart = apart.select("key", "same", "n", "place", "members", "component", "main", *bits)
+    near, far = (apart.select("key", *(F.col(c).alias(f"{c}_{side}") for c in apart.columns if c != "key")) for side in "xy")
     steps = F.abs(F.col("place_y") - F.col("place_x"))
     steps = F.least(steps, F.col("members_x") - steps)
     sizes = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
     both = near.where("not main_x").join(far, "key").where(steps.between(first, last) & (F.col("component_x") != F.col("component_y")) & sizes)
+    both = both.where(_can_resemble(similarity, BITMAP // 2) & _can_resemble(similarity, BITMAP))
     return both.select(F.least("same_x", "same_y").alias("a"), F.greatest("same_x", "same_y").alias("b")).distinct()
 
 
@@ -181,7 +208,8 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     sketches = materialize(_sketches(rows, id_type, shingle, similarity), "sketches")
     classes = materialize(
         sketches.groupBy("same").agg(
-            F.min(F.struct("id", "mark")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")
+            F.min(F.struct("id", "mark")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            F.first("keys").alias("keys"),
         ), "classes"
     )
     whole = F.array(F.xxhash64(F.lit("whole"), "fp"))
@@ -214,7 +242,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         most = apart.agg(F.max("members")).first()[0] or 0
         if done >= most // 2:
             break
-        between = materialize(_pairs_between(apart, done + 1, done + step, similarity), "candidates")
+        between = materialize(_pairs_between(apart.join(classes.select("same", "bits"), "same"), done + 1, done + step, similarity), "candidates")
         more = materialize(_resembling(between.join(left, "a").join(right, "b"), similarity), "copies")
         found = not more.isEmpty()
         linked = linked.union(more) if found else linked

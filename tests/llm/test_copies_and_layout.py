@@ -308,6 +308,24 @@ def test_sample_is_bounded_by_rows(spark):
     assert decontaminate._sample(table, 950, 5).count() == 5 and decontaminate._sample(table, 950, 500).count() == 10
 
 
+def test_bitmaps_never_tell_similar_sets_apart(spark):
+    rng, data, similar = np.random.default_rng(21), [], []
+    for k in range(400):
+        n = int(rng.integers(1, 600))
+        one = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        keep = one[rng.random(n) > rng.choice([0.02, 0.1, 0.5])]
+        two = np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)])
+        if len(two):
+            both = len(np.intersect1d(one, two))
+            similar.append(both >= 0.8 * (len(one) + len(two) - both))
+            data.append((len(similar) - 1, n, len(two), *near_copies._bitmap(one).tolist(), *near_copies._bitmap(two).tolist()))
+    columns = [f"bits{k}_{side} long" for side in "xy" for k in range(near_copies.BITMAP)]
+    table = spark.createDataFrame(data, ", ".join(["id int", "n_x int", "n_y int", *columns]))
+    for words in (near_copies.BITMAP // 2, near_copies.BITMAP):
+        passed = {r.id for r in table.where(near_copies._can_resemble(0.8, words)).collect()}
+        assert passed >= {k for k, s in enumerate(similar) if s} and len(passed) < 1.6 * sum(similar)
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
