@@ -7,11 +7,13 @@ are ranked inside (class, first hex digits of the hash) buckets and the bucket's
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.storage import attach_row
+from millwright.functions.neighbours import nearest
+from millwright.functions.storage import attach_row, materialize
 
 #: Copies of a row that one task makes of one input row.
 COPIES_AT_ONCE = 4096
@@ -86,6 +88,73 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     return spread.withColumn("copy", F.explode(F.sequence(first, last))).select(*df.columns, "copy")
 
 
+def _draw(text: Column, first: int = 1, digits: int = 15) -> Column:
+    """A number from so many hexadecimal digits of the md5 of a text."""
+    return F.conv(F.substring(F.md5(text), first, digits), 16, 10).cast("long")
+
+
+def _text(*parts) -> Column:
+    return F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("")) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def oversample_with_replacement(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """Every class smaller than the largest replaced by as many independent draws of its rows as the largest has.
+
+    Draw number ``draw`` of a class takes the row whose hash rank is the draw's own hash modulo the class size, so a
+    row's number of copies is that of drawing with replacement, class sizes are exact and runs repeat. Draws are made
+    where they are joined: none needs an order over the class. The largest classes keep their rows, with a null draw.
+    """
+    ranked = attach_row(hash_rank(df, label, key, seed), _class_range(df, label)).withColumn("__row", F.col("__rank"))
+    sizes = ranked.groupBy(label).agg(F.first("__class_n").alias("__n"), F.first("__most").alias("__want")).where("__n < __want")
+    chunks = sizes.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__want") - 1) / COPIES_AT_ONCE))))
+    chunks = chunks.repartition(F.col(label), F.col("__chunk"))
+    first = F.col("__chunk") * COPIES_AT_ONCE
+    draws = chunks.withColumn("draw", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, F.col("__want")) - 1)))
+    draws = draws.select(F.col(label).alias("__label"), "draw", (_draw(_text(F.lit(seed), label, "draw")) % F.col("__n") + 1).alias("__drawn"))
+    taken = ranked.where(F.col("__class_n") < F.col("__most")).join(draws, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__row") == F.col("__drawn")))
+    whole = ranked.where(F.col("__class_n") == F.col("__most")).withColumn("draw", F.lit(None).cast("long"))
+    return whole.select(*df.columns, "draw").unionByName(taken.select(*df.columns, "draw"))
+
+
+def smote(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 42, split: str | None = None) -> DataFrame:
+    """(label, key, neighbour, copy, features): synthetic rows that raise every class to the size of the largest.
+
+    A synthetic row lies between the row ``key`` and one of its ``k`` nearest of the same class, which is drawn by hash, as
+    is the place between them; rows take turns by hash rank. Rows need all features and a label; keys are unique. A
+    class of one row is repeated, with a null neighbour. A named ``split`` column must hold nothing but ``train``: synthetic
+    rows made of others would carry them into the fit.
+    """
+    if split and not df.where(~F.col(split).eqNullSafe("train")).isEmpty():
+        raise ValueError("synthetic rows are made of training rows only: split first")
+    rows = materialize(df.select(label, key, *(F.col(f).cast("double").alias(f) for f in features)).na.drop(), "smote-rows")
+    ranked = attach_row(hash_rank(rows, label, key, seed), _class_range(rows, label)).where(F.col("__class_n") < F.col("__most"))
+    wanted = F.col("__most") - F.col("__class_n")
+    extra = (F.col("__rank") <= wanted % F.col("__class_n")).cast("long")
+    ranked = ranked.withColumn("__copies", F.floor(wanted / F.col("__class_n")) + extra).where("__copies > 0")
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # one row a class
+    near = None
+    for value in sorted((v for v, n in counts.items() if 1 < n < max(counts.values())), key=str):
+        own = rows.where(F.col(label) == value)
+        found = nearest(own, own, features, key, k + 1).select(*(F.col(f).alias(f"__{f}") for f in features), F.col("key").alias("__of"), "point", "rank")
+        same = reduce(lambda a, b: a & b, (F.col(f) == F.col(f"__{f}") for f in features))
+        beside = own.join(found, same).where(F.col(key) != F.col("__of")).groupBy(key).agg(
+            F.slice(F.sort_array(F.collect_list(F.struct("rank", F.col("__of").alias("of"), "point"))), 1, k).alias("__near")
+        ).withColumnRenamed(key, "__own")
+        near = beside if near is None else near.unionByName(beside)
+    if near is None:
+        near = rows.limit(0).select(F.col(key).alias("__own"), F.array(F.struct(F.lit(1).alias("rank"), F.col(key).alias("of"), F.array(*features).alias("point"))).alias("__near"))
+    zero = F.lit(0).cast("long")
+    chunks = ranked.join(near, F.col(key) == F.col("__own"), "left").withColumn("__chunk", F.explode(F.sequence(zero, F.floor((F.col("__copies") - 1) / COPIES_AT_ONCE))))
+    spread = chunks.repartition(F.col(key), F.col("__chunk"))
+    first = F.col("__chunk") * COPIES_AT_ONCE
+    made = spread.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, F.col("__copies")) - 1)))
+    name = _text(F.lit(seed), key, "copy")
+    picked = F.when(F.size("__near") > 0, F.element_at("__near", (_draw(name, 1, 8) % F.size("__near") + 1).cast("int")))
+    made = made.withColumns({"__pick": picked, "__part": _draw(name, 9, 8) / F.lit(float(1 << 32))})
+    between = [F.col(f) + F.col("__part") * (F.coalesce(F.col("__pick.point")[i], F.col(f)) - F.col(f)) for i, f in enumerate(features)]
+    return made.select(label, key, F.col("__pick.of").alias("neighbour"), "copy", *(b.alias(f) for b, f in zip(between, features)))
+
+
 def concat_classes(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

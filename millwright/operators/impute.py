@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millwright.functions.chunks import CHUNK_HOURS, HOUR, with_neighbours
 from millwright.functions.columns import epoch_hour
 from millwright.functions.quantiles import medians
+from millwright.functions.neighbours import nearest
 from millwright.functions.storage import attach_row, materialize
 from millwright.schemas import HOURLY_COLUMNS, PIECES
 
@@ -212,3 +213,31 @@ def impute_regression(df: DataFrame, columns: Sequence[str], train: Column | Non
         lines = _fitted_lines(work, columns, train)
         work = work.withColumns({c: F.when(F.col(f"{c}__seen"), F.col(c)).otherwise(line) for c, line in lines.items()})
     return work.select(*df.columns)
+
+
+def impute_knn(df: DataFrame, columns: Sequence[str], key: str, k: int = 5, train: Column | None = None, features: Sequence[str] | None = None) -> DataFrame:
+    """Fill each of ``columns`` by the mean of the ``k`` nearest training rows that have it.
+
+    Distances are Euclidean over the other ``features`` (default: ``columns``), each divided by its training standard
+    deviation; a missing feature counts as its training mean. Ties go to the smaller ``key``, which is unique. Rows to
+    fill that agree in all features are one query. Observed values stay; without a donor a value stays null.
+    """
+    features = list(features or columns)
+    rows = materialize(df, "knn-rows") if train is None else materialize(df.withColumn("__train", train), "knn-rows")
+    donors = rows if train is None else rows.where("__train")
+    stats = donors.agg(*(F.avg(c).alias(f"{c}|mean") for c in features), *(F.stddev_samp(c).alias(f"{c}|std") for c in features)).first()
+    filled = rows
+    for c in columns:
+        others = [f for f in features if f != c and stats[f"{f}|mean"] is not None]
+        scaled = {f"__z{i}": F.coalesce(F.col(f).cast("double"), F.lit(stats[f"{f}|mean"])) / F.lit(float(stats[f"{f}|std"] or 1.0)) for i, f in enumerate(others)}
+        if not scaled:
+            raise ValueError(f"{c} has no other feature to measure distances by")
+        near = nearest(
+            rows.where(F.col(c).isNull()).withColumns(scaled), donors.where(F.col(c).isNotNull()).withColumns(scaled), list(scaled), key, k, value=c
+        )
+        means = near.groupBy(*scaled).agg(F.avg("value").alias("__mean")).withColumnsRenamed({z: f"{z}q" for z in scaled})
+        same = reduce(lambda a, b: a & b, (F.col(z) == F.col(f"{z}q") for z in scaled))
+        # only the rows to fill take part in the join, so that no vector of observed rows can be its hot key
+        lacking = rows.where(F.col(c).isNull()).withColumns(scaled).join(means, same, "left").select(F.col(key).alias("__key"), "__mean")
+        filled = filled.join(lacking, F.col(key) == F.col("__key"), "left").withColumn(c, F.coalesce(F.col(c), F.col("__mean"))).drop("__key", "__mean")
+    return filled.select(*df.columns)

@@ -333,3 +333,53 @@ def near_duplicates_by_text(spark, sf):
 
     found = near_in_time(view(spark, sf, "incidents_v"), ["machine_id_std"], "incident_at", "incident_id", 86_400, "comment")
     return found.select("incident_id", "previous_id", F.col("text_distance").cast("long").alias("text_distance"))
+
+
+def _knn_sql(target):
+    others = [c for c in DOUBLES if c != target]
+    fits = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in others)
+    scaled = ", ".join(f"coalesce({c}, m_{c}) / s_{c} AS z_{c}" for c in others)
+    distance = " + ".join(f"(q.z_{c} - d.z_{c}) * (q.z_{c} - d.z_{c})" for c in others)
+    return (f"SELECT row_seq, avg({target}) AS guess FROM (SELECT q.row_seq, d.{target}, row_number() OVER (PARTITION BY q.row_seq ORDER BY round({distance}, 9), d.row_seq) AS k "
+            f"FROM (SELECT row_seq, {scaled} FROM telemetry_v, (SELECT {fits} FROM telemetry_v WHERE row_seq % 3 <> 0) WHERE {target} IS NULL) q, "
+            f"(SELECT row_seq, {target}, {scaled} FROM telemetry_v, (SELECT {fits} FROM telemetry_v WHERE row_seq % 3 <> 0) WHERE {target} IS NOT NULL AND row_seq % 3 <> 0) d) WHERE k <= 5 GROUP BY 1")
+
+
+KNN_FILLED = ["temperature_c", "voltage_mean_v"]
+
+
+@query(with_views(f", {', '.join(f'g_{c} AS ({_knn_sql(c)})' for c in KNN_FILLED)} SELECT t.row_seq, {', '.join(r(f'coalesce(t.{c}, g_{c}.guess)', c) for c in KNN_FILLED)} "
+                  f"FROM telemetry_v t {' '.join(f'LEFT JOIN g_{c} ON g_{c}.row_seq = t.row_seq' for c in KNN_FILLED)}", "telemetry_v"))
+def impute_knn(spark, sf):
+    done = im.impute_knn(_telemetry(spark, sf), KNN_FILLED, "row_seq", 5, F.col("row_seq") % 3 != 0, features=DOUBLES)
+    return rounded(done.select("row_seq", *KNN_FILLED))
+
+
+def _hex(text, first, digits):
+    return f"CAST('0x' || substr(md5({text}), {first}, {digits}) AS BIGINT)"
+
+
+@query(f"WITH {RANKED}, sizes AS (SELECT toxic, max(n) AS n, (SELECT max(n) FROM rk) AS m FROM rk GROUP BY 1), "
+       f"draws AS (SELECT toxic, n, unnest(range(m)) AS draw FROM sizes WHERE n < m) "
+       f"SELECT doc_id, rk.toxic, draw FROM draws d JOIN rk ON rk.toxic = d.toxic AND rk.k = {_hex("concat('42:', d.toxic, ':', draw)", 1, 15)} % d.n + 1 "
+       f"UNION ALL SELECT doc_id, toxic, NULL FROM rk WHERE n = (SELECT max(n) FROM rk)")
+def oversample_with_replacement(spark, sf):
+    return bl.oversample_with_replacement(_labelled(spark, sf), "toxic", "doc_id").select("doc_id", "toxic", "draw")
+
+
+SMOTE_SQL = f"""WITH {LABELLED.replace("JOIN documents d USING (doc_id)", "JOIN documents d USING (doc_id) WHERE doc_id % 5 <> 0")},
+rk AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id) AS k, count(*) OVER (PARTITION BY toxic) AS n FROM lab),
+todo AS (SELECT *, (m - n) // n + CASE WHEN k <= (m - n) % n THEN 1 ELSE 0 END AS copies FROM rk, (SELECT max(n) AS m FROM rk) WHERE n < m),
+near AS (SELECT a.doc_id, b.doc_id AS other, b.n_chars AS nc, b.quality AS nq,
+  row_number() OVER (PARTITION BY a.doc_id ORDER BY round(CAST((a.n_chars - b.n_chars) * (a.n_chars - b.n_chars) + (a.quality - b.quality) * (a.quality - b.quality) AS DOUBLE), 9), b.doc_id) AS p
+  FROM rk a JOIN rk b ON a.toxic = b.toxic AND a.doc_id <> b.doc_id WHERE a.n < (SELECT max(n) FROM rk)),
+made AS (SELECT t.*, unnest(range(copies)) AS copy FROM todo t),
+drawn AS (SELECT *, {_hex("concat('42:', doc_id, ':', copy)", 1, 8)} % least(5, n - 1) + 1 AS p, {_hex("concat('42:', doc_id, ':', copy)", 9, 8)} / 4294967296.0E0 AS u FROM made)
+SELECT toxic, d.doc_id, other AS neighbour, copy, {r('n_chars + u * (nc - n_chars)', 'n_chars')}, {r('quality + u * (nq - quality)', 'quality')}
+FROM drawn d JOIN near USING (doc_id, p)"""
+
+
+@query(SMOTE_SQL)
+def smote_minority(spark, sf):
+    train = _labelled(spark, sf).where("doc_id % 5 <> 0").withColumn("part", F.lit("train"))
+    return rounded(bl.smote(train, "toxic", "doc_id", ["n_chars", "quality"], split="part"))
