@@ -23,6 +23,17 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "table")
     return df
 
 
+def column_contract(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(column, present, violations): each required column, and how many rows lack it or its value."""
+    found = df.agg(F.count(F.lit(1)).alias("__rows"), *(F.count(c).alias(c) for c in required if c in df.columns))
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"),
+                 (F.col("__rows") - (F.col(c) if c in df.columns else F.lit(0))).alias("violations"))
+        for c in required
+    ]
+    return found.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
 def require_layer(layer: str, allowed: Sequence[str] = (*LAYER_TABLES, "all"), persist: bool = True) -> str:
     layer = layer.lower()
     if layer not in allowed:
@@ -70,6 +81,12 @@ def enforce(report: DataFrame) -> None:
         raise ContractError("; ".join(f"{row['rule']}: {row['violations']} rows" for row in broken))
 
 
+def incident_time_violations(incidents: DataFrame) -> DataFrame:
+    """The incidents without a readable date and time, with what stands in their place."""
+    at = F.to_timestamp_ntz(F.concat_ws(" ", F.col("date").cast("string"), F.col("time").cast("string"))) if "incident_at" not in incidents.columns else F.col("incident_at")
+    return incidents.where(at.isNull())
+
+
 def require_incident_times(incidents: DataFrame) -> DataFrame:
     """Every silver incident needs a timestamp."""
     bad = incidents.agg(F.count(F.when(F.col("incident_at").isNull(), 1))).head()[0]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.functions.storage import materialize
+
 
 def near_in_time(
     df: DataFrame, block: Sequence[str], time: str, key: str, max_gap_seconds: int, text: str | None = None
@@ -43,3 +45,52 @@ def _micros(time: str):
     days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     seconds = days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
     return seconds * 1_000_000 + F.date_format(ts, "SSSSSS").cast("long")
+
+
+def text_classes(df: DataFrame, block: Sequence[str], key: str, text: str) -> DataFrame:
+    """(block, key, text, representative): every row's lower-case text and the smallest key that has it in the block.
+
+    Rows without a text, or with a null among the block's columns, belong to no class.
+    """
+    rows = df.na.drop(subset=[text, *block]).select(*block, key, F.lower(text).alias("text"))
+    first = rows.groupBy(*block, "text").agg(F.min(key).alias("representative"))
+    first = first.withColumnsRenamed({c: f"__{c}" for c in [*block, "text"]})
+    same = [F.col(c) == F.col(f"__{c}") for c in [*block, "text"]]
+    return rows.join(first, same).select(*block, key, "text", "representative")
+
+
+def near_in_text(df: DataFrame, block: Sequence[str], key: str, text: str, similarity: float = 0.8, shingle: int = 3) -> DataFrame:
+    """(block, representative, other, similarity): all pairs of different texts of a block whose shingle sets are alike.
+
+    A shingle is ``shingle`` characters of the lower-case text (the whole of a shorter one), likeness their Jaccard
+    coefficient. Texts are compared once, by the smallest key that has them (``text_classes``). Shingles stand in the
+    order of how many texts have them, rarest first: two sets can only be alike if they share one of the first few,
+    so these are joined, with the bounds that sizes and places set, and what remains is compared exactly. A shingle
+    that most texts have comes last and so is hardly ever joined on; nothing is lost and no pairs of a block are made.
+    """
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("text") - shingle + 1, F.lit(1))), lambda i: F.substring("text", i, shingle)))
+    rows = df.na.drop(subset=[text, *block]).select(*block, key, F.lower(text).alias("text"))
+    texts = rows.groupBy(*block, "text").agg(F.min(key).alias("id")).select(*block, "id", grams.alias("grams"))
+    texts = materialize(texts, "text-grams")
+    single = texts.select("id", F.explode("grams").alias("gram"))
+    having = materialize(single.groupBy("gram").agg(F.count("*").alias("texts")), "gram-counts")
+    ordered = single.join(having, "gram").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("texts", "gram"))).alias("order"))
+    n = F.size("order")
+    first = n - F.ceil(F.lit(similarity) * n - 1e-9) + 1
+    prefix = texts.select("id", *block).join(
+        ordered.select("id", n.alias("n"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("place", "x")), "id"
+    ).select(*block, "id", "n", "place", F.col("x.gram").alias("gram"))
+    prefix = materialize(prefix, "gram-prefixes")
+    left, right = (prefix.select(*(F.col(c).alias(c if c in (*block, "gram") else f"{c}_{s}") for c in prefix.columns)) for s in "xy")
+    shared = F.lit(1) + F.least(F.col("n_x") - F.col("place_x") - 1, F.col("n_y") - F.col("place_y") - 1)
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    sizes = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
+    pairs = left.join(right, [*block, "gram"]).where((F.col("id_x") < F.col("id_y")) & sizes & (shared >= needed)).select(*block, "id_x", "id_y").distinct()
+    sets = [texts.select(F.col("id").alias(f"id_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "xy"]
+    both = pairs.join(sets[0], "id_x").join(sets[1], "id_y")
+    common = F.size(F.array_intersect("grams_x", "grams_y"))
+    alike = common / (F.size("grams_x") + F.size("grams_y") - common)
+    return both.select(*block, F.col("id_x").alias("representative"), F.col("id_y").alias("other"), alike.alias("similarity")).where(
+        F.col("similarity") >= similarity - 1e-9)
+

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import combine_date_time
@@ -14,6 +15,9 @@ from millwright.schemas import LAYER_TABLES
 from millwright.sinks.tables import gold_csv_path, gold_path, iso_text, list_runs, unpack_gold
 
 PAGE_LIMIT = 500  # fixed value: largest preview page
+#: Rows of a part of a table stored for paging, about, and the folder column that holds a row's part.
+PART_ROWS = 100_000
+PART = "page_part"
 
 
 def layer_path(root: str, layer: str, table: str) -> str:
@@ -74,6 +78,42 @@ def page(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0)
     return df.orderBy(*order).offset(max(int(offset), 0)).limit(size)
 
 
+def write_pages(df: DataFrame, order: Sequence[str], path: str, part_rows: int = PART_ROWS) -> None:
+    """Store a table so that any page of its order is found at once: sorted parts and an index of their running counts.
+
+    Parts are ranges of the order of about ``part_rows`` rows. The index has one row for each part.
+    """
+    parts = max(1, -(-df.count() // part_rows))
+    ranged = df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
+    counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy(PART).agg(F.count(F.lit(1)).alias("rows"))
+    upto = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    counts.select(PART, "rows", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("start")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def stored_page(spark: SparkSession, path: str, order: Sequence[str], limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of a table stored by ``write_pages``: reads the parts that hold it, at any offset.
+
+    Those are one or two, unless many rows are equal in the order; the rest of the table is not opened.
+    """
+    size, offset = min(max(int(limit), 1), PAGE_LIMIT), max(int(offset), 0)
+    at = spark.read.parquet(f"{path}/index").where((F.col("start") < offset + size) & (F.col("start") + F.col("rows") > offset)).collect()
+    rows = spark.read.parquet(f"{path}/rows").where(F.col(PART).isin([r[PART] for r in at])).drop(PART)
+    return rows.orderBy(*order).offset(offset - min((r["start"] for r in at), default=offset)).limit(size)
+
+
+def stored_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The layer catalogue with the rows of each stored table; null for one that is not there."""
+    found = []
+    for row in list_datasets(spark).collect():  # a fixed list
+        try:
+            n = read_layer(spark, root, row["layer"], row["table"]).count()
+        except AnalysisException:
+            n = None
+        found.append((row["layer"], row["table"], n))
+    return spark.createDataFrame(found, "layer string, table string, rows long")
+
+
 def text_cells(df: DataFrame) -> DataFrame:
     """Dates and times as ISO text, as a preview shows them; everything else unchanged."""
     times = ("date", "timestamp_ntz", "timestamp")

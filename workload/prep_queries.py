@@ -383,3 +383,26 @@ FROM drawn d JOIN near USING (doc_id, p)"""
 def smote_minority(spark, sf):
     train = _labelled(spark, sf).where("doc_id % 5 <> 0").withColumn("part", F.lit("train"))
     return rounded(bl.smote(train, "toxic", "doc_id", ["n_chars", "quality"], split="part"))
+
+
+NEAR_TEXT_SQL = """, texts AS (SELECT machine_id_std, lower(comment) AS text, min(incident_id) AS id FROM incidents_v WHERE comment IS NOT NULL AND machine_id_std IS NOT NULL GROUP BY 1, 2),
+grams AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(text, i, 3))) AS g FROM texts)
+SELECT a.machine_id_std, a.id AS representative, b.id AS other, """ + r(
+    "len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))", "similarity") + """
+FROM grams a JOIN grams b ON a.machine_id_std = b.machine_id_std AND a.id < b.id
+WHERE len(list_intersect(a.g, b.g)) >= 0.8 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))"""
+
+
+@query(with_views(NEAR_TEXT_SQL, "incidents_v"))
+def near_duplicates_by_shingles(spark, sf):
+    from millwright.operators.near import near_in_text
+
+    return rounded(near_in_text(view(spark, sf, "incidents_v"), ["machine_id_std"], "incident_id", "comment"))
+
+
+@query(with_views("SELECT i.incident_id, m.representative FROM incidents_v i JOIN (SELECT machine_id_std, lower(comment) AS text, min(incident_id) AS representative FROM incidents_v "
+                  "WHERE comment IS NOT NULL GROUP BY 1, 2) m ON m.machine_id_std = i.machine_id_std AND m.text = lower(i.comment)", "incidents_v"))
+def comment_classes(spark, sf):
+    from millwright.operators.near import text_classes
+
+    return text_classes(view(spark, sf, "incidents_v"), ["machine_id_std"], "incident_id", "comment").select("incident_id", "representative")

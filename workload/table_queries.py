@@ -10,9 +10,11 @@ from millwright.functions import columns as co
 from millwright.functions.storage import shared_dir
 from millwright.operators import clean as cl
 from millwright.operators import contracts as ct
+from millwright.operators import states
 from millwright.operators.asof import hours_since_last_event_asof
 from millwright.plans.layers import finish_gold, generate_report, run_layers
 from millwright.schemas import GOLD_LABELS, MACHINE_COLUMNS, TYPE_COLUMNS
+from millwright.sinks import keyed
 from millwright.sinks import tables as sk
 from millwright.sources import csv_files, layers, sql_dump
 from workload.gold_queries import _gold, _hourly, _silver
@@ -20,6 +22,9 @@ from workload.registry import query, r, rounded
 from workload.views import table, view, with_views
 
 
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def _scratch(spark, name):
     return f"{shared_dir(spark)}/millwright/{name}-{uuid.uuid4().hex}"
 
@@ -304,3 +309,79 @@ def stored_layer_report(spark, sf):
     parts = [tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n")
              for name in ("incidents_per_day", "machines_per_criticality", "machine_component", "telemetry_duplicates")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, CAST(count(DISTINCT user_id) AS BIGINT) AS n_exact, TRUE AS within_error FROM events GROUP BY 1")
+def distinct_counts_from_states(spark, sf):
+    """Machines seen per month, from states per day; right to four standard errors."""
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    root = _scratch(spark, "states")
+    states.distinct_states(events, ["day"], "user_id").write.mode("overwrite").parquet(root)
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    found = states.merged_distinct(spark.read.parquet(root).withColumn("month", month), ["month"])
+    exact = events.groupBy(month).agg(F.countDistinct("user_id").alias("n_exact"))
+    error = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * 1.04 / 2 ** (states.HLL_BITS / 2) * F.col("n_exact") + 1
+    return exact.join(found, "month").select("month", "n_exact", error.alias("within_error"))
+
+
+@query(f"SELECT signal, CAST(count(v) AS BIGINT) AS n, unnest([0.05E0, 0.25E0, 0.5E0, 0.75E0, 0.95E0]) AS share, TRUE AS within_error "
+       f"FROM (UNPIVOT (SELECT {', '.join(LINE_NUMBERS)} FROM lineitem) ON {', '.join(LINE_NUMBERS)} INTO NAME signal VALUE v) GROUP BY 1")
+def quantiles_from_states(spark, sf):
+    """Quantiles of a whole table from states per day; the value's rank is right to the state's rank error."""
+    lines = table(spark, sf, "lineitem")
+    root, shares = _scratch(spark, "states"), [0.05, 0.25, 0.5, 0.75, 0.95]
+    states.quantile_states(lines, ["l_shipdate"], LINE_NUMBERS).write.mode("overwrite").parquet(root)
+    found = states.merged_quantiles(spark.read.parquet(root), [], shares)
+    found = found.select("signal", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("quantiles").alias("value"))).alias("x"))
+    found = found.select("signal", "n", "x.*")
+    wanted = {(x["signal"], x["share"]): x["value"] for x in found.collect()}  # five rows a signal
+    below = [F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), F.avg((F.col(c) < v).cast("int")).alias("low"), F.avg((F.col(c) <= v).cast("int")).alias("high"))
+             for (c, s), v in wanted.items()]
+    ranks = lines.agg(F.array(*below).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    error = (F.col("low") - states.RANK_ERROR <= F.col("share")) & (F.col("high") + states.RANK_ERROR >= F.col("share"))
+    return found.join(ranks, (F.col("signal") == F.col("c")) & (F.col("share") == F.col("s"))).select("signal", "n", "share", error.alias("within_error"))
+
+
+@query(f"""SELECT o_orderkey, {r('o_totalprice')}, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT o_orderkey, {r('o_totalprice + 1', 'o_totalprice')}, 'U' FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL SELECT -o_orderkey, {r('o_totalprice + 1', 'o_totalprice')}, 'U' FROM orders WHERE o_orderkey % 10 = 1""")
+def keyed_upsert_in_buckets(spark, sf):
+    """The same upsert on a table in buckets, where the keys of a tenth of the customers change."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path, k = _scratch(spark, "keyed"), F.col("o_orderkey")
+    keyed.write_keyed(orders, path, ["o_orderkey"], 32)
+    changed = orders.filter(k % 10 < 2).select(
+        F.when(k % 10 == 0, k).otherwise(-k).alias("o_orderkey"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("U").alias("o_orderstatus"))
+    keyed.upsert_keyed(spark, path, changed, ["o_orderkey"], 32)
+    return rounded(keyed.read_keyed(spark, path))
+
+
+@query("SELECT l_orderkey, l_linenumber, " + r("l_quantity") + " FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 500 OFFSET 47000")
+def stored_table_page(spark, sf):
+    """A page deep inside a table that is stored for paging."""
+    path, order = _scratch(spark, "pages"), ["l_orderkey", "l_linenumber"]
+    layers.write_pages(table(spark, sf, "lineitem").select(*order, "l_quantity"), order, path, part_rows=5000)
+    return rounded(layers.stored_page(spark, path, order, limit=900, offset=47_000))
+
+
+@query(with_views("SELECT 'silver' AS layer, 'telemetry' AS \"table\", count(*) AS rows FROM hourly UNION ALL SELECT 'bronze', 'machine', count(*) FROM machine_v", "hourly", "machine_v"))
+def layer_catalogue(spark, sf):
+    """The catalogue's tables that are stored, with their rows."""
+    root = _scratch(spark, "layers")
+    sk.write_table(_hourly(spark, sf), root, "silver", "telemetry")
+    sk.write_table(view(spark, sf, "machine_v"), root, "bronze", "machine")
+    return layers.stored_tables(spark, root).where("rows IS NOT NULL")
+
+
+@query(with_views("SELECT * FROM (SELECT 'temperature_c' AS \"column\", TRUE AS present, count(*) - count(temperature_c) AS violations FROM telemetry_v "
+                  "UNION ALL SELECT 'voltage_mean_v', TRUE, count(*) - count(voltage_mean_v) FROM telemetry_v UNION ALL SELECT 'humidity', FALSE, count(*) FROM telemetry_v)", "telemetry_v"))
+def required_columns(spark, sf):
+    return ct.column_contract(view(spark, sf, "telemetry_v"), ["temperature_c", "voltage_mean_v", "humidity"])
+
+
+@query(with_views("SELECT incident_id FROM incidents_v WHERE CAST(regexp_extract(incident_id, '[0-9]+') AS BIGINT) % 7 = 0", "incidents_v"))
+def incidents_without_time(spark, sf):
+    number = F.regexp_extract("incident_id", "[0-9]+", 0).cast("long")
+    rows = view(spark, sf, "incidents_v").select("incident_id", F.to_date("incident_at").alias("date"), F.when(number % 7 == 0, "25:99").otherwise(F.date_format("incident_at", "HH:mm:ss")).alias("time"))
+    timed = layers.with_incident_time(rows)
+    return ct.incident_time_violations(timed).select("incident_id")
