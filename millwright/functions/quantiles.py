@@ -20,6 +20,16 @@ from millwright.functions.storage import attach_row
 SALTS = 16
 
 
+def row_salt(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A salt that differs between rows of equal values: with the first three other columns that are times or whole numbers.
+
+    A sensor that reads the same all the time is spread by its timestamps. The salt hangs on nothing but the row, so a
+    task that runs again deals its rows alike.
+    """
+    other = [c for c, t in df.dtypes if c not in columns and t in ("timestamp", "timestamp_ntz", "date", "bigint", "int")]
+    return F.pmod(F.xxhash64(*columns, *other[:3]), F.lit(SALTS))
+
+
 def _ends(c: str, i: int) -> tuple[Column, Column]:
     return F.col(f"__{c}_ends")[2 * i], F.col(f"__{c}_ends")[2 * i + 1]
 
@@ -28,11 +38,10 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by
     """Rows with the bracket ends of their group, and a salt."""
     eps = 2.0 / accuracy
     ends = [e for p in probs for e in (max(0.0, p - eps), min(1.0, p + eps))]
-    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns], row_salt(df, [*columns]).alias("__salt"))
     for key in by:
         rows = rows.filter(F.col(key).isNotNull())
     sketch = rows.groupBy(*by).agg(*[F.percentile_approx(c, ends, accuracy).alias(f"__{c}_ends") for c in columns])
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
     if not by:
         return attach_row(rows, sketch)
     # the sketch goes to every part of its group, so the join is spread as the counting is

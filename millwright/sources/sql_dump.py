@@ -3,7 +3,7 @@
 Dump files are read line by line, so a large file is split over tasks like any text file. Which INSERT
 a tuple line belongs to depends on the lines before it: inside a file block that is a window, across
 blocks the last open statement is carried over. So are open quotes and brackets: lines are joined until both are
-closed, wherever a tuple is broken. Comment lines (``--``) take no part in that.
+closed, wherever a tuple is broken. Comments (``--`` outside quotes) take no part in that.
 """
 
 from __future__ import annotations
@@ -50,18 +50,54 @@ def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.join(blocks, ["file", "block"]).withColumn(name, total).drop("__v", "__base")
 
 
-def joined_lines(lines: DataFrame) -> DataFrame:
-    """Lines joined while a quote or a bracket is open, at the place of their first line."""
+def _after(text: Column) -> tuple[Column, Column]:
+    """(is a quote open behind the text, brackets opened less closed) when none is open before it.
+
+    Quoted parts and a comment behind the last of them are cut out from left to right, so a quote in a comment and two
+    dashes in a quote are what they look like; what is left of a quote that does not close is the text's own end.
+    """
+    plain = F.regexp_replace(text, r"'[^']*'|--.*$", "")
+    outside = F.regexp_replace(plain, "'.*$", "")
+    return plain.contains("'"), F.length(F.replace(outside, F.lit(")"))) - F.length(F.replace(outside, F.lit("(")))
+
+
+def with_quote_state(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``__inside`` (a quote is open before the line) and ``__opened`` (brackets, net, outside quotes).
+
+    What a line does to an open or closed quote is one of four maps: leave it, turn it, open or close it whatever it was.
+    The state before a line is that of the last line that opens or closes, turned by the lines since, so maps of
+    splits are put together by a running count and one carried value; no line is gathered.
+    """
     line = F.col("line")
-    comment = line.rlike(r"^\s*--")
-    quotes = F.when(comment, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit("'"))))
-    rows = _carried(lines, quotes, "__quotes")
-    inside = F.col("__quotes") % 2 == 1
-    plain = F.regexp_replace(F.when(inside, F.concat(F.lit("'"), line)).otherwise(line), "'[^']*(?:'|$)", "")
-    depth = F.when(comment & ~inside, 0).otherwise(
-        F.length(F.replace(plain, F.lit(")"))) - F.length(F.replace(plain, F.lit("(")))
-    )
-    rows = _carried(rows, depth, "__depth")
+    from_plain, opened_plain = _after(line)
+    rest = F.regexp_extract(line, r"^[^']*'(.*)$", 1)
+    stays = ~line.contains("'")
+    from_quote, opened_quote = _after(rest)
+    from_quote = stays | from_quote
+    rows = lines.withColumns({"__p": from_plain, "__q": from_quote})
+    rows = _carried(rows, (F.col("__p") & ~F.col("__q")).cast("int"), "__turns")
+    fixed = F.when(F.col("__p") == F.col("__q"), F.struct("block", "pos", F.col("__p").alias("state"), F.col("__turns").alias("turns")))
+    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("file", "block").agg(F.max(fixed).alias("__fixed"))
+    carried = last.select("file", "block", F.max("__fixed").over(earlier).alias("__earlier"))
+    rows = rows.withColumn("__fixed", F.max(fixed).over(before)).join(carried, ["file", "block"])
+    known = F.coalesce("__fixed", "__earlier")
+    state = F.coalesce(known["state"].cast("int"), F.lit(0)) + F.col("__turns") - F.coalesce(known["turns"], F.lit(0))
+    rows = rows.withColumn("__inside", state % 2 == 1)
+    opened = F.when(F.col("__inside"), F.when(stays, 0).otherwise(opened_quote)).otherwise(opened_plain)
+    return rows.withColumn("__opened", opened).drop("__p", "__q", "__turns", "__fixed", "__earlier")
+
+
+def joined_lines(lines: DataFrame) -> DataFrame:
+    """Lines joined while a quote or a bracket is open, at the place of their first line; comments are blanked."""
+    rows = with_quote_state(lines)
+    inside = F.col("__inside")
+    rows = _carried(rows, F.col("__opened"), "__depth")
+    head = F.when(inside, F.regexp_extract("line", r"^([^']*'?)", 1)).otherwise("")
+    tail = F.when(inside, F.regexp_replace("line", r"^[^']*'?", "")).otherwise(F.col("line"))
+    kept = F.regexp_replace(tail, r"^((?:'[^']*'|[^'-]|-(?!-))*)--.*$", "$1")
+    rows = rows.withColumn("line", F.concat(head, kept))
     starts = F.when(~inside & (F.col("__depth") == 0), F.struct("block", "pos"))
     before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = rows.groupBy("file", "block").agg(F.max(starts).alias("__start"))
