@@ -38,11 +38,11 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Tokenizer(NamedTuple):
     """``encode`` gives the token ids of texts, ``pieces`` the bytes of each id; ``lead``: it adds a leading space itself."""
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list]
     pieces: list[bytes]
     lead: bool
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list:
         """Token ids of a space and the text; strings of special tokens are plain text."""
         return self.encode(texts if self.lead else [f" {t}" for t in texts])
 
@@ -75,7 +75,7 @@ def byte_level(path: str = BYTE_BPE) -> Tokenizer:
         import tiktoken
 
         encoding = tiktoken.Encoding("byte level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return Tokenizer(lambda texts: [encoding.encode_ordinary(t) for t in texts], pieces, False)
+        return Tokenizer(lambda texts: [encoding.encode_to_numpy(t) for t in texts], pieces, False)
     import tokenizers
 
     whole = tokenizers.Tokenizer.from_file(path)
@@ -94,34 +94,32 @@ def sentence_pieces(path: str = PIECES) -> Tokenizer:
     return Tokenizer(lambda texts: model.encode(texts, num_threads=1), pieces, True)
 
 
-def common_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """(place in a, place in b, length) of the runs of common values of two ascending lists that end alike."""
-    i, j, n, runs = 0, 0, len(a), []
+def common_runs(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(places in a, places in b, lengths) of the runs of common values of two ascending lists that end alike."""
+    i, j, n = 0, 0, len(a)
+    in_a, in_b, lengths = [], [], []
     while i < n:
-        found, step = 0, 1
-        while (probe := a[i + found:i + found + step]) and probe == b[j + found:j + found + step]:
-            found += len(probe)
-            step *= 2
-        while step > 1:  # the run ends inside the probe that failed
-            step >>= 1
-            if (probe := a[i + found:i + found + step]) and probe == b[j + found:j + found + step]:
-                found += len(probe)
-        if found:
-            runs.append((i, j, found))
-            i, j = i + found, j + found
-            if i >= n:
-                break
         end_a, end_b = a[i], b[j]
-        while end_a != end_b:
+        while end_a != end_b:  # an irregular group: who is behind moves on
             if end_a < end_b:
                 i += 1
                 end_a = a[i]
             else:
                 j += 1
                 end_b = b[j]
-        runs.append((i, j, 1))
-        i, j = i + 1, j + 1
-    return runs
+        found, step = 1, 1
+        while (probe := a[i + found:i + found + step]) and probe == b[j + found:j + found + step]:
+            found += len(probe)
+            step *= 2
+        while step > 1:  # the run ends inside the probe that failed
+            step >>= 1
+            if (probe := a[i + found:i + found + step]) and probe == b[j + found:j + found + step]:
+                found += len(probe)
+        in_a.append(i)
+        in_b.append(j)
+        lengths.append(found)
+        i, j = i + found, j + found
+    return in_a, in_b, lengths
 
 
 class Aligned(NamedTuple):
@@ -137,7 +135,11 @@ _NOTHING = Aligned(*(np.zeros(0, np.int64) for _ in range(4)))
 
 
 class Aligner:
-    """Aligns texts under two tokenizers."""
+    """Aligns texts under two tokenizers.
+
+    Ids in a list are compared with the text byte by byte; ids in an array come from merges of the text's own bytes, so
+    their number of bytes is enough.
+    """
 
     def __init__(self, first: Tokenizer, second: Tokenizer):
         self.first, self.second = first, second
@@ -149,14 +151,21 @@ class Aligner:
         for text, a, b in zip(whole, self.first.ids(whole), self.second.ids(whole)):
             yield self._one(text, a, b) if text else _NOTHING
 
-    def _one(self, text: str, a: list[int], b: list[int]) -> Aligned:
+    def _one(self, text: str, a, b) -> Aligned:
         raw = f" {text}".encode()
-        if any(b"".join(map(t.pieces.__getitem__, ids)) != raw for t, ids in ((self.first, a), (self.second, b))):
-            return _NOTHING
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        runs = np.array(common_runs(np.cumsum(self.lengths[0][a]).tolist(), np.cumsum(self.lengths[1][b]).tolist()), np.int64)
-        inside = np.arange(runs[:, 2].sum()) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
-        return Aligned(a, b, np.repeat(runs[:, 0], runs[:, 2]) + inside, np.repeat(runs[:, 1], runs[:, 2]) + inside)
+        sides = []
+        for tokenizer, lengths, ids in zip((self.first, self.second), self.lengths, (a, b)):
+            if isinstance(ids, list) and b"".join(map(tokenizer.pieces.__getitem__, ids)) != raw:
+                return _NOTHING
+            ids = np.array(ids, np.int64)
+            ends = np.cumsum(lengths[ids])
+            if not len(ids) or ends[-1] != len(raw):
+                return _NOTHING
+            sides.append((ids, ends.tolist()))
+        (a, ends_a), (b, ends_b) = sides
+        in_a, in_b, length = (np.array(x, np.int64) for x in common_runs(ends_a, ends_b))
+        inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        return Aligned(a, b, np.repeat(in_a, length) + inside, np.repeat(in_b, length) + inside)
 
 
 class GroupText:
@@ -165,7 +174,7 @@ class GroupText:
     def __init__(self, size_a: int, size_b: int):
         ends = [(size_a, b",", b"|"), (size_b, b",", b";")]
         self.shift = 2 * size_a
-        self.table = [b"%d%s" % (k, end) for size, *both in ends for k in range(size) for end in both]
+        self.table = np.array([b"%d%s" % (k, end) for size, *both in ends for k in range(size) for end in both])
 
     def __call__(self, x: Aligned) -> bytes:
         if not len(x.a):
@@ -179,7 +188,7 @@ class GroupText:
         merged = np.empty(n_a + n_b, np.int64)
         merged[np.arange(n_a) + (x.last_b + 1 - sizes_b)[group_a]] = code_a
         merged[np.arange(n_b) + (x.last_a + 1)[group_b]] = code_b
-        return b"".join(map(self.table.__getitem__, merged.tolist()))[:-1]
+        return self.table[merged].tobytes().translate(None, b"\0")[:-1]  # shorter entries are padded
 
 
 def _slices(batches, text_col: str, limit: int):
