@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.functions.storage import attach_row
-from millwright.schemas import GOLD_IDS, GOLD_LABELS, LAYER_TABLES
+from millwright.schemas import GOLD_IDS, GOLD_LABELS, LAYER_TABLES, SPLIT_NAMES
 
 
 class ContractError(ValueError):
@@ -112,15 +112,47 @@ def gold_checks(gold: DataFrame) -> DataFrame:
     ).withColumn("columns", F.lit(len(gold.columns)))
 
 
-def validate_gold(gold: DataFrame, min_columns: int = 90) -> dict:
-    """Raise on duplicates or null identifiers; returns the counts, with a warning for too few columns."""
-    found = gold_checks(gold).head().asDict()
+def observe_gold(gold: DataFrame) -> tuple[DataFrame, Observation]:
+    """``gold``, and what its next action counts on the way: rows, null identifiers, nulls, rows and positives per name.
+
+    Rows are counted by the tasks that write them, so nothing is read again. A split of another name counts as ``other``.
+    """
+    null_id = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in GOLD_IDS])
+    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in gold.columns])
+    known = F.col("split_set").isin(*SPLIT_NAMES)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(null_id, 1)).alias("null_identifiers"), F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls")]
+    counts += [F.count(F.when(F.col("split_set") == name, 1)).alias(f"split:{name}") for name in SPLIT_NAMES]
+    counts += [F.count(F.when(~known, 1)).alias("split:other")]
+    labels = [c for c in GOLD_LABELS if c.startswith("label_") and c in gold.columns]
+    counts += [F.count(F.when(F.col(c), 1)).alias(f"positive:{c}") for c in labels]
+    seen = Observation()
+    return gold.observe(seen, *counts), seen
+
+
+def key_copies(gold: DataFrame) -> DataFrame:
+    """One row: machines, and machine-hours that came before. Only the two key columns are read."""
+    hours = gold.groupBy("machine_id_std", "window_start").agg(F.count(F.lit(1)).alias("n"))
+    machines = hours.groupBy("machine_id_std").agg(F.sum(F.col("n") - 1).alias("again"))
+    return machines.agg(F.count("machine_id_std").alias("machines"), F.coalesce(F.sum("again"), F.lit(0)).alias("duplicates"))
+
+
+def require_gold(found: dict, min_columns: int = 90) -> dict:
+    """Raise when the counts of a gold table break its contract; adds a warning for too few columns."""
     if found["duplicates"]:
         raise ContractError(f"gold has {found['duplicates']} duplicate machine-hours")
     if found["null_identifiers"]:
         raise ContractError(f"gold has {found['null_identifiers']} rows with incomplete identifiers")
-    found["warnings"] = [f"only {found['columns']} columns"] if found["columns"] < min_columns else []
-    return found
+    return found | {"warnings": [f"only {found['columns']} columns"] if found["columns"] < min_columns else []}
+
+
+def validate_gold(gold: DataFrame, min_columns: int = 90) -> dict:
+    """Raise on duplicates or null identifiers; returns the counts, with a warning for too few columns."""
+    return require_gold(gold_checks(gold).head().asDict(), min_columns)
+
+
+def validate_written(seen: Observation, stored: DataFrame, min_columns: int = 90) -> dict:
+    """``validate_gold`` for a table that was just written through ``observe_gold``; also ``machines``."""
+    return require_gold(seen.get | key_copies(stored).head().asDict() | {"columns": len(stored.columns)}, min_columns)
 
 
 def split_distribution(gold: DataFrame) -> DataFrame:
@@ -166,6 +198,13 @@ def gold_metrics(gold: DataFrame) -> DataFrame:
     return attach_row(one, splits).withColumn("column_count", F.lit(len(gold.columns)))
 
 
+def written_metrics(spark: SparkSession, found: dict) -> DataFrame:
+    """The run counts of ``gold_metrics`` from the counts of ``validate_written``."""
+    splits = {k.removeprefix("split:"): n for k, n in found.items() if k.startswith("split:") and n}
+    row = (found["rows"], found["machines"], splits, found["columns"])
+    return spark.createDataFrame([row], "row_count long, machines long, split_counts map<string, long>, column_count int")
+
+
 def attached_totals(gold: DataFrame) -> DataFrame:
     """One row: how many incidents and maintenances the machine-hours hold."""
     return gold.agg(*[

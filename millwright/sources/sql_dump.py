@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import to_whole
 from millwright.operators.clean import prepare_maintenance
 from millwright.operators.contracts import ContractError
 from millwright.schemas import MACHINE_COLUMNS, MAINTENANCE_COLUMNS
+from millwright.sources.lines import before_line, carried, earlier_blocks, joined, placed_lines, with_open_quotes
+
+dump_lines = placed_lines
 
 # Fixed patterns of the dump format; quoted text may hold any character, a quote in it is doubled.
 QUOTED = r"'(?:[^']|'')*'"
@@ -28,28 +31,6 @@ BETWEEN = r"(?is)^[\s,;]*(?:VALUES)?[\s,;]*(?:--.*)?$"
 CLOSES = rf"(?i)^(?:{QUOTED}|[^'])*?(?:\bON\s+CONFLICT\b|;\s*$)"
 
 
-def dump_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with their place: ``file``, ``block`` (byte offset of the split) and ``pos`` inside the block."""
-    return spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-
-
-def _carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add the running total of ``value`` over all lines of the file before each line."""
-    rows = lines.withColumn("__v", value)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("file", "block").agg(F.sum("__v").alias("__s")).select(
-        "file", "block", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base")
-    )
-    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("__base") + F.coalesce(F.sum("__v").over(before), F.lit(0))
-    return rows.join(blocks, ["file", "block"]).withColumn(name, total).drop("__v", "__base")
-
-
 def _after(text: Column) -> tuple[Column, Column]:
     """(is a quote open behind the text, brackets opened less closed) when none is open before it.
 
@@ -62,53 +43,24 @@ def _after(text: Column) -> tuple[Column, Column]:
 
 
 def with_quote_state(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``__inside`` (a quote is open before the line) and ``__opened`` (brackets, net, outside quotes).
-
-    What a line does to an open or closed quote is one of four maps: leave it, turn it, open or close it whatever it was.
-    The state before a line is that of the last line that opens or closes, turned by the lines since, so maps of
-    splits are put together by a running count and one carried value; no line is gathered.
-    """
+    """``lines`` with ``__inside`` (a quote is open before the line) and ``__opened`` (brackets, net, outside quotes)."""
     line = F.col("line")
     from_plain, opened_plain = _after(line)
-    rest = F.regexp_extract(line, r"^[^']*'(.*)$", 1)
+    from_quote, opened_quote = _after(F.regexp_extract(line, r"^[^']*'(.*)$", 1))
     stays = ~line.contains("'")
-    from_quote, opened_quote = _after(rest)
-    from_quote = stays | from_quote
-    rows = lines.withColumns({"__p": from_plain, "__q": from_quote})
-    rows = _carried(rows, (F.col("__p") & ~F.col("__q")).cast("int"), "__turns")
-    fixed = F.when(F.col("__p") == F.col("__q"), F.struct("block", "pos", F.col("__p").alias("state"), F.col("__turns").alias("turns")))
-    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.groupBy("file", "block").agg(F.max(fixed).alias("__fixed"))
-    carried = last.select("file", "block", F.max("__fixed").over(earlier).alias("__earlier"))
-    rows = rows.withColumn("__fixed", F.max(fixed).over(before)).join(carried, ["file", "block"])
-    known = F.coalesce("__fixed", "__earlier")
-    state = F.coalesce(known["state"].cast("int"), F.lit(0)) + F.col("__turns") - F.coalesce(known["turns"], F.lit(0))
-    rows = rows.withColumn("__inside", state % 2 == 1)
+    rows = with_open_quotes(lines, from_plain, stays | from_quote)
     opened = F.when(F.col("__inside"), F.when(stays, 0).otherwise(opened_quote)).otherwise(opened_plain)
-    return rows.withColumn("__opened", opened).drop("__p", "__q", "__turns", "__fixed", "__earlier")
+    return rows.withColumn("__opened", opened)
 
 
 def joined_lines(lines: DataFrame) -> DataFrame:
     """Lines joined while a quote or a bracket is open, at the place of their first line; comments are blanked."""
-    rows = with_quote_state(lines)
     inside = F.col("__inside")
-    rows = _carried(rows, F.col("__opened"), "__depth")
+    rows = carried(with_quote_state(lines), F.col("__opened"), "__depth")
     head = F.when(inside, F.regexp_extract("line", r"^([^']*'?)", 1)).otherwise("")
     tail = F.when(inside, F.regexp_replace("line", r"^[^']*'?", "")).otherwise(F.col("line"))
     kept = F.regexp_replace(tail, r"^((?:'[^']*'|[^'-]|-(?!-))*)--.*$", "$1")
-    rows = rows.withColumn("line", F.concat(head, kept))
-    starts = F.when(~inside & (F.col("__depth") == 0), F.struct("block", "pos"))
-    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.groupBy("file", "block").agg(F.max(starts).alias("__start"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    open_start = last.select("file", "block", F.max("__start").over(earlier).alias("__open"))
-    placed = rows.withColumn("__start", F.max(starts).over(before)).join(open_start, ["file", "block"])
-    parts = placed.withColumn("__start", F.coalesce("__start", "__open")).groupBy("file", "__start").agg(
-        F.sort_array(F.collect_list(F.struct("block", "pos", "line"))).alias("__lines")
-    )
-    text = F.array_join(F.col("__lines.line"), "\n")
-    return parts.select(text.alias("line"), "file", F.col("__start.block").alias("block"), F.col("__start.pos").alias("pos"))
+    return joined(rows.withColumn("line", F.concat(head, kept)), ~inside & (F.col("__depth") == 0))
 
 
 def _literal(token: Column) -> Column:
@@ -129,11 +81,9 @@ def insert_rows(lines: DataFrame, table: str, columns: Sequence[str]) -> DataFra
     )
     last = marked.filter(F.col("__after").isNotNull()).groupBy("file", "block").agg(F.max_by("__after", "pos").alias("__last"))
     blocks = marked.select("file", "block").distinct().join(last, ["file", "block"], "left")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("file", "block", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
-    before = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = marked.join(carried, ["file", "block"]).withColumn(
-        "__table", F.coalesce("__open", F.last("__after", ignorenulls=True).over(before), "__carried")
+    held = blocks.select("file", "block", F.last("__last", ignorenulls=True).over(earlier_blocks()).alias("__carried"))
+    placed = marked.join(held, ["file", "block"]).withColumn(
+        "__table", F.coalesce("__open", F.last("__after", ignorenulls=True).over(before_line()), "__carried")
     )
     mine = placed.filter(F.col("__table") == table.lower())
 

@@ -267,6 +267,37 @@ def gold_csv_preview(spark, sf):
     return layers.preview_gold_csv(spark, root, run["run_name"], limit=40, offset=25)[0].select("window_start", "machine_id_std")
 
 
+@query(with_views("SELECT 'gold' AS layer, count(*) AS row_count, count(DISTINCT machine_id_std) AS machines, "
+                  "count(*) FILTER (split_set = 'train') AS train, count(*) FILTER (split_set = 'validation') AS validation, "
+                  "count(*) FILTER (split_set = 'test') AS test, 113 AS column_count FROM split", "split"))
+def gold_record_from_the_write(spark, sf):
+    """The run record of a gold table, counted by the tasks that write it."""
+    root = _scratch(spark, "gold")
+    finish_gold(spark, _gold(spark, sf), root, "files")
+    splits = [F.col("split_counts")[s].alias(s) for s in ("train", "validation", "test")]
+    return sk.list_runs(spark, root).select("layer", "row_count", "machines", *splits, "column_count")
+
+
+@query("""SELECT concat('| ', c_name, ' | ', 'silver | bronze | ', CAST(c_nationkey AS VARCHAR), ' |  | ', '/runs/', CAST(c_custkey AS VARCHAR), ' |') AS line FROM customer""")
+def run_index_as_lines(spark, sf):
+    """The run index as table lines; an unknown count stays blank."""
+    root = _scratch(spark, "runs")
+    c = table(spark, sf, "customer")
+    sk.append_run(c.select(
+        F.col("c_name").alias("run_name"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("run_ts"), F.lit("silver").alias("layer"),
+        F.lit("bronze").alias("source_layer"), F.col("c_nationkey").alias("row_count"), F.concat(F.lit("/runs/"), "c_custkey").alias("run_dir")), root)
+    return sk.run_index_lines(sk.list_runs(spark, root))
+
+
+@query(with_views("SELECT 'telemetry' AS source, count(*) AS rows, count(DISTINCT machine_id) AS machines, count(*) FILTER (timestamp IS NULL) AS invalid_timestamps FROM telemetry_v "
+                  "UNION ALL SELECT 'incidents', count(*), count(DISTINCT machine_id), count(*) FILTER (incident_at IS NULL) FROM incidents_v", "telemetry_v", "incidents_v"))
+def loaded_source_summary(spark, sf):
+    """Rows, machines and unreadable times of both sources."""
+    parts = [csv_files.source_summary(view(spark, sf, v), time).select(F.lit(name).alias("source"), "*")
+             for name, v, time in (("telemetry", "telemetry_v", "timestamp"), ("incidents", "incidents_v", "incident_at"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS run_ts, c_name AS run_name, CAST(c_nationkey AS BIGINT) AS row_count FROM customer ORDER BY run_ts DESC LIMIT 50")
 def run_index_newest_first(spark, sf):
     root = _scratch(spark, "runs")
