@@ -113,7 +113,7 @@ def gold_checks(gold: DataFrame) -> DataFrame:
 
 
 def observe_gold(gold: DataFrame) -> tuple[DataFrame, Observation]:
-    """``gold``, and what its next action counts on the way: rows, null identifiers, nulls, rows and positives per name.
+    """``gold``, and what its next action counts on the way: rows, null identifiers, nulls, rows per split.
 
     Rows are counted by the tasks that write them, so nothing is read again. A split of another name counts as ``other``.
     """
@@ -123,8 +123,6 @@ def observe_gold(gold: DataFrame) -> tuple[DataFrame, Observation]:
     counts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(null_id, 1)).alias("null_identifiers"), F.coalesce(F.sum(nulls), F.lit(0)).alias("nulls")]
     counts += [F.count(F.when(F.col("split_set") == name, 1)).alias(f"split:{name}") for name in SPLIT_NAMES]
     counts += [F.count(F.when(~known, 1)).alias("split:other")]
-    labels = [c for c in GOLD_LABELS if c.startswith("label_") and c in gold.columns]
-    counts += [F.count(F.when(F.col(c), 1)).alias(f"positive:{c}") for c in labels]
     seen = Observation()
     return gold.observe(seen, *counts), seen
 
