@@ -154,6 +154,26 @@ def imputation_best_strategy(spark, sf):
     return im.best_strategy(rounded(_comparison(spark, sf)))
 
 
+def _between_sql(c, median):
+    """A gap's straight line, the nearest value at the ends, the median where a machine has none."""
+    at = f"CASE WHEN {c} IS NOT NULL THEN h END"
+    (lv, nv), (lh, nh) = ((f"last_value({x} IGNORE NULLS) OVER {WIN} UNBOUNDED PRECEDING AND CURRENT ROW)",
+                           f"first_value({x} IGNORE NULLS) OVER {WIN} CURRENT ROW AND UNBOUNDED FOLLOWING)") for x in (c, at))
+    return f"coalesce({c}, {lv} + ({nv} - {lv}) / ({nh} - {lh}) * (h - {lh}), {lv}, {nv}, {median})"
+
+
+CHOSEN = {"temp_mean_1h": "interpolation", "voltage_mean_1h": "median"}
+_MEDIAN_OF = "(SELECT quantile_cont({0}, 0.5) FROM split WHERE split_set = 'train')"
+
+
+@query(with_views("SELECT machine_id_std, window_start, split_set, " + r(_between_sql(_ONE, _MEDIAN_OF.format(_ONE)), _ONE) + ", "
+                  + r(f"coalesce({_TWO}, {_MEDIAN_OF.format(_TWO)})", _TWO) + " FROM split", "split"))
+def impute_by_chosen_strategy(spark, sf):
+    """Each signal filled by the strategy chosen for it."""
+    grid = _split(spark, sf).select("machine_id_std", "window_start", "split_set", *CHOSEN)
+    return rounded(im.impute_by_strategy(grid, CHOSEN))
+
+
 # ---- outliers
 
 Z_SQL = ", ".join(
