@@ -35,9 +35,9 @@ def _columns(spark: SparkSession, path: str | list[str]) -> StructType:
 def read_text_csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """All columns as text plus ``row_seq``, the position of the row in its source.
 
-    A quote inside quoted text is doubled; ``multiline`` allows line breaks there. A record with too few or too many fields raises
-    instead of shifting its values. ``row_seq`` orders by file, block and row within the block, which holds whatever
-    way Spark groups blocks into tasks.
+    A quote inside quoted text is doubled; ``multiline`` allows line breaks there. A record with too few or too many
+    fields raises instead of shifting its values. ``row_seq`` orders by file, block and row within the block, which
+    holds whatever way Spark groups blocks into tasks.
     """
     if multiline:
         return read_multiline_csv(spark, path)
