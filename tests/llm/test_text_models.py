@@ -68,11 +68,92 @@ def test_scores(spark, order):
     assert all(r.score <= 0 and math.isfinite(r.score) for r in found)
 
 
-def test_scores_are_probabilities(spark):
+class PlainModel:
+    """Deleted interpolation over dictionaries of tuples, one token at a time."""
+
+    def __init__(self, data, order):
+        fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 7
+        training = [(fold(i), plain_words(v)) for i, v in data if fold(i) != 2]
+        self.order = order
+        self.all = self.counted(words for _, words in training)
+        kept = self.counted(words for f, words in training if f != 3)
+        self.types = [g[0] for g in self.all if len(g) == 1 and g[0] != "begin"]
+        evidence = collections.defaultdict(collections.Counter)
+        for f, words in training:
+            if f == 3:
+                for bucket, *shares in self.looked_up(words, kept):
+                    binned = tuple(2 ** (-round(-4 * math.log2(p)) / 4) if p else 0.0 for p in shares)
+                    evidence[bucket][(*binned, 1 / (len(self.types) + 1))] += 1
+        self.learned = {bucket: self.learn(seen) for bucket, seen in evidence.items()}
+        together = sum(evidence.values(), collections.Counter())
+        self.otherwise = self.learn(together) if together else (0.0, 0.0, 0.0, 1.0)
+
+    @staticmethod
+    def steps(words):
+        """(token, the token before it, the two before it) of a text; the first has a beginning alone before it."""
+        tokens = ["begin", *words, None]
+        for k in range(1, len(tokens)):
+            yield tokens[k], tokens[k - 1], tuple(tokens[max(0, k - 2):k])
+
+    def counted(self, texts):
+        counts = collections.Counter()
+        for words in texts:
+            counts["begin",] += 1
+            for token, before, two in self.steps(words):
+                counts.update([(token,), (before, token)])
+                if self.order == 3:
+                    counts["three", *two, token] += 1
+        return counts
+
+    def looked_up(self, words, counts):
+        total = sum(n for g, n in counts.items() if len(g) == 1 and g != ("begin",))
+        for token, before, two in self.steps(words):
+            context, context_two = counts[before,], counts[two] if self.order == 3 else 0
+            size = lambda c: min(math.ceil(math.log2(c + 1)), 39)
+            yield (
+                40 + size(context_two) if context_two else size(context), counts["three", *two, token] / context_two if context_two else 0.0,
+                counts[before, token] / context if context else 0.0, counts[token,] / total if total else 0.0,
+            )
+
+    @staticmethod
+    def learn(seen):
+        weights = [0.25] * 4
+        for _ in range(60):
+            grown = [0.0] * 4
+            for shares, n in seen.items():
+                mixed = sum(w * p for w, p in zip(weights, shares))
+                grown = [g + n * w * p / mixed for g, w, p in zip(grown, weights, shares)]
+            weights = [g / sum(seen.values()) for g in grown]
+        return weights
+
+    def probabilities(self, words):
+        for bucket, *shares in self.looked_up(words, self.all):
+            three, two, one, uniform = self.learned.get(bucket, self.otherwise)
+            weights = [three if bucket >= 40 else 0.0, two if bucket else 0.0, one, max(uniform, 1e-7)]
+            yield sum(w * p for w, p in zip(weights, [*shares, 1 / (len(self.types) + 1)])) / sum(weights)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_by_dictionaries(spark, order):
+    rng = np.random.default_rng(5)
+    data = [*ODD, *((1000 + k, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) % 40)) for k in range(120))]
+    model = PlainModel(data, order)
+    expected = collections.Counter((i, round(sum(map(math.log10, model.probabilities(plain_words(v)))), 5)) for i, v in data)
+    found = lm_score.score(rows(spark, data), block_tokens=300, range_grams=400, order=order)
+    assert collections.Counter((r.id, round(r.score, 5)) for r in found.collect()) == expected
+    assert len(model.learned) > 4  # several frequencies of contexts have weights of their own
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_are_probabilities(order):
     """The next-token probabilities of a context add up to one over all training tokens and the unknown one."""
-    data = [(i, " ".join("ab cd ef".split()[(i * k) % 3] for k in range(1, 9))) for i in range(80)]
-    score = {r.id: r.score for r in lm_score.score(rows(spark, [*data, *((1000 + k, t) for k, t in enumerate(["ab", "cd", "ef", "", "zz"]))])).collect()}
-    assert all(v < 0 for v in score.values())
+    model = PlainModel(ODD, order)
+    for before in [[], [b"the"], [b"the", b"cat"], [b"cat", b"the"], [b"unseen"], [b"unseen", b"sat"], [b"x" * 5000]]:
+        nexts = [list(model.probabilities([*before, *([] if t is None else [t])]))[len(before)] for t in [*model.types, b"unknown"]]
+        assert math.isclose(sum(nexts), 1, rel_tol=1e-9) and min(nexts) > 0
+
+
+def test_mixture_weights():
     weights = lm_score.mixture_weights(
         pa.table({"bucket": [41, 41, 0], "three": [0, 4, -1], "two": [4, 4, -1], "one": [8, 8, 8], "n": [9, 1, 5]}), 100
     )
