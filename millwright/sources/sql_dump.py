@@ -3,7 +3,8 @@
 Dump files are read line by line, so a large file is split over tasks like any text file. Which INSERT
 a tuple line belongs to depends on the lines before it: inside a file block that is a window, across
 blocks the last open statement is carried over. So are open quotes and brackets: lines are joined until both are
-closed, wherever a tuple is broken. Comments (``--`` outside quotes) take no part in that.
+closed, wherever a tuple is broken. Comments (``--`` outside quotes) take no part in that. Escape strings and dollar
+quotes are rewritten as plain quoted text first, if the dump holds any (``sources/quotes.py``).
 """
 
 from __future__ import annotations
@@ -18,17 +19,24 @@ from millwright.operators.clean import prepare_maintenance
 from millwright.operators.contracts import ContractError
 from millwright.schemas import MACHINE_COLUMNS, MAINTENANCE_COLUMNS
 from millwright.sources.lines import before_line, carried, earlier_blocks, joined, placed_lines, with_open_quotes
+from millwright.sources.quotes import may_need_rewriting, with_plain_quotes
 
-dump_lines = placed_lines
-
-# Fixed patterns of the dump format; quoted text may hold any character, a quote in it is doubled.
-QUOTED = r"'(?:[^']|'')*'"
+# Fixed patterns of the dump format; quoted text may hold any character, a quote in it is doubled. Repeated groups are
+# possessive: they match in a loop, so that a value of any length needs no more stack than a short one.
+QUOTED = r"'[^']*+(?:''[^']*+)*+'"
+CONFLICT = r"\bON\s+CONFLICT\b"
 OPENS = r"(?i)^\s*INSERT\s+INTO\s+(?:\w+\.)?\"?(\w+)\"?\s*\([^)]*\)(?:\s*VALUES)?"
-TUPLE = rf"\(\s*((?:{QUOTED}|[^'()])*)\)"
+TUPLE = rf"\(\s*+((?:{QUOTED}|[^'()]++)*+)\)"
 FIELD = rf"({QUOTED}|[^,'\s][^,']*)"
-BEFORE_CONFLICT = rf"(?i)^((?:{QUOTED}|[^'])*?)\bON\s+CONFLICT\b"
+BEFORE_CONFLICT = rf"(?i)^((?:{QUOTED}|[^'o]++|(?!{CONFLICT})o)*+){CONFLICT}"
 BETWEEN = r"(?is)^[\s,;]*(?:VALUES)?[\s,;]*(?:--.*)?$"
-CLOSES = rf"(?i)^(?:{QUOTED}|[^'])*?(?:\bON\s+CONFLICT\b|;\s*$)"
+CLOSES = rf"(?i)^(?:{QUOTED}|[^'o;]++|(?!{CONFLICT}|;\s*$)[o;])*+(?:{CONFLICT}|;\s*$)"
+
+
+def dump_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The placed lines of dump files, all quoted text in plain quotes."""
+    lines = placed_lines(spark, path)
+    return with_plain_quotes(lines) if may_need_rewriting(lines) else lines
 
 
 def _after(text: Column) -> tuple[Column, Column]:
@@ -38,7 +46,7 @@ def _after(text: Column) -> tuple[Column, Column]:
     dashes in a quote are what they look like; what is left of a quote that does not close is the text's own end.
     """
     plain = F.regexp_replace(text, r"'[^']*'|--.*$", "")
-    outside = F.regexp_replace(plain, "'.*$", "")
+    outside = F.regexp_replace(plain, "(?s)'.*$", "")
     return plain.contains("'"), F.length(F.replace(outside, F.lit(")"))) - F.length(F.replace(outside, F.lit("(")))
 
 
@@ -46,7 +54,7 @@ def with_quote_state(lines: DataFrame) -> DataFrame:
     """``lines`` with ``__inside`` (a quote is open before the line) and ``__opened`` (brackets, net, outside quotes)."""
     line = F.col("line")
     from_plain, opened_plain = _after(line)
-    from_quote, opened_quote = _after(F.regexp_extract(line, r"^[^']*'(.*)$", 1))
+    from_quote, opened_quote = _after(F.regexp_extract(line, r"(?s)^[^']*'(.*)$", 1))
     stays = ~line.contains("'")
     rows = with_open_quotes(lines, from_plain, stays | from_quote)
     opened = F.when(F.col("__inside"), F.when(stays, 0).otherwise(opened_quote)).otherwise(opened_plain)
@@ -59,7 +67,7 @@ def joined_lines(lines: DataFrame) -> DataFrame:
     rows = carried(with_quote_state(lines), F.col("__opened"), "__depth")
     head = F.when(inside, F.regexp_extract("line", r"^([^']*'?)", 1)).otherwise("")
     tail = F.when(inside, F.regexp_replace("line", r"^[^']*'?", "")).otherwise(F.col("line"))
-    kept = F.regexp_replace(tail, r"^((?:'[^']*'|[^'-]|-(?!-))*)--.*$", "$1")
+    kept = F.regexp_replace(tail, r"^((?:'[^']*+'|[^'-]++|-(?!-))*+)--.*$", "$1")
     return joined(rows.withColumn("line", F.concat(head, kept)), ~inside & (F.col("__depth") == 0))
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millwright.sources import csv_files
+from millwright.sources import csv_files, quotes, sql_dump
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -93,3 +93,52 @@ def test_counts_of_the_write_equal_counts_of_the_table(spark, tmp_path):
             with pytest.raises(ct.ContractError):
                 ct.validate_written(seen, stored)
     assert found["split:other"] == 1
+
+
+def test_long_values_of_a_dump(spark, tmp_path):
+    value = "it's (a) -- note; on conflict, " * 3000
+    doubled = value.replace("'", "''")
+    (tmp_path / "long.sql").write_text(f"INSERT INTO t (a, b) VALUES\n(1, '{doubled}'),\n(2, NULL); -- {'x' * 9000}\n")
+    rows = sql_dump.insert_rows(sql_dump.dump_lines(spark, str(tmp_path / "long.sql")), "t", ["a", "b"])
+    assert {tuple(r) for r in rows.collect()} == {("1", value), ("2", None)}
+
+
+def _quoted(rng, value):
+    """A value as a plain, an escape or a dollar quoted literal."""
+    kind = rng.randrange(3)
+    if kind == 0:
+        return "'" + value.replace("'", "''") + "'"
+    if kind == 1:
+        tag = rng.choice([t for t in ("$$", "$q$", "$Tag_1$") if t not in value and not (value + t).startswith(t[1:]) and t not in value + t[:-1]])
+        return tag + value + tag
+    ways = {"'": ["\\'", "''", "\\x27", "\\047"], "\n": ["\\n", "\n", "\\\n"], "\\": ["\\\\"], "é": ["é", "\\u00e9", "\\xC3\\xa9"], "\t": ["\\t"]}
+    return rng.choice("eE") + "'" + "".join(rng.choice(ways.get(c, [c])) for c in value) + "'"
+
+
+@pytest.mark.parametrize("block", [211, 1 << 20])
+def test_escape_strings_and_dollar_quotes(spark, tmp_path, block):
+    rng = random.Random(block)
+    parts = ["a", "'", "\n", "\\", "é", "(", ")", ",", " -- ", ";", "\t", "e", " $q", "x$y ", "E"]
+    expected, before = [], spark.conf.get(SPLIT)
+    for f in range(2):
+        tuples = []
+        for i in range(40):
+            value = "".join(rng.choice(parts) for _ in range(rng.randrange(9))) + "."
+            expected.append((str(f * 100 + i), value))
+            tuples.append(f"({f * 100 + i}, {_quoted(rng, value)})" + rng.choice(["", "", " -- it's E'open or $q$ open"]))
+        body = "".join(f"{t.split(' -- it')[0]}{',' if k < 39 else ';'}{t[len(t.split(' -- it')[0]):]}\n" for k, t in enumerate(tuples))
+        (tmp_path / f"part{f}.sql").write_text("INSERT INTO t (a, b) VALUES\n" + body)
+    spark.conf.set(SPLIT, str(block))
+    try:
+        rows = sql_dump.insert_rows(sql_dump.dump_lines(spark, str(tmp_path)), "t", ["a", "b"]).collect()
+    finally:
+        spark.conf.set(SPLIT, before)
+    assert sorted(tuple(r) for r in rows) == sorted(expected)
+
+
+def test_quotes_of_one_line():
+    assert quotes.rewritten(r"x E'a\'b\101' y", "") == ("x 'a''bA' y", "")
+    assert quotes.rewritten("$a$it's$$ $a$, name'E'", "") == ("'it''s$$ ', name'E'", "")
+    assert quotes.rewritten("b$q$ -- $$", "$q$") == ("b' -- $$", "")
+    assert quotes.rewritten("tail\\", "E'") == ("tail", "E'")
+    assert quotes.rewritten("no end", "'") == ("no end", "'") and quotes.rewritten("", "$x$") == ("", "$x$")

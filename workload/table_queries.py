@@ -165,6 +165,19 @@ def sql_dump_source(spark, sf):
     return sql_dump.typed_machines(rows).dropDuplicates()
 
 
+@query(with_views("SELECT machine_code, concat('it''s \\ (', model, '), a ''test''', chr(10), 'or (two') AS escaped, "
+                  "concat('it''s \\ (', model, '), a ''test''', chr(10), 'or (two') AS dollars FROM machine_v", "machine_v"))
+def sql_dump_quotes(spark, sf):
+    """Texts as escape strings and dollar quotes, broken over lines, read back from dump text."""
+    path = _scratch(spark, "dump")
+    note = F.concat(F.lit("it's \\ ("), "model", F.lit("), a 'test'\nor (two"))
+    escaped = F.replace(F.replace(note, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    values = F.concat(F.lit("('"), "machine_code", F.lit("', E'"), escaped, F.lit("',\n$note$"), note, F.lit("$note$)"))
+    dump = F.concat(F.lit("INSERT INTO machine (machine_code, escaped, dollars) VALUES\n"), values, F.lit(";\n-- it's E'done $note$"))
+    view(spark, sf, "machine_v").select(dump.alias("value")).write.text(path)
+    return sql_dump.insert_rows(sql_dump.dump_lines(spark, path), "machine", ["machine_code", "escaped", "dollars"])
+
+
 @query(with_views(f"SELECT maintenance_id, machine_code, date_trunc('second', maintenance_at) AS maintenance_at, maintenance_type, component, "
                   f"{r('duration_hours')}, maintenance_hour FROM maintenance_v", "maintenance_v"))
 def sql_dump_maintenance(spark, sf):
