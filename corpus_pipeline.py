@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.functions.storage import materialize
+from millwright.functions.storage import materialize, release, written_so_far
 from millwright.llm import decontaminate, line_dedup, near_copies, packing, quality
 
 
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again.
+
+    Once a stage is written, what it was made from (the stage before, sketches, links, counts) is removed, so the folder
+    holds the intermediates of one stage at a time. Runs of one session follow one another.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -54,10 +54,14 @@ def written_so_far(spark: SparkSession) -> int:
     return len(_written.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
-    """Remove the intermediates written after a mark, once no lazy result needs them any more."""
+def release(spark: SparkSession, since: int = 0, keep_last: int = 0) -> int:
+    """Remove the intermediates written after a mark, once no lazy result needs them any more.
+
+    The ``keep_last`` newest of them stay, and are what a later call with the same mark begins with.
+    """
     known = _written.get(spark.sparkContext.applicationId, [])
-    paths, known[since:] = known[since:], []
+    end = max(since, len(known) - keep_last)
+    paths, known[since:end] = known[since:end], []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)

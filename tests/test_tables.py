@@ -163,7 +163,10 @@ def test_shared_folder(spark):
         storage.shared_dir(Other)
     mark = storage.written_so_far(spark)
     kept = storage.materialize(spark.range(5))
-    assert kept.count() == 5 and storage.release(spark, mark) == 1 and storage.written_so_far(spark) == mark
+    newest = storage.materialize(kept.where("id > 2"))
+    assert storage.release(spark, mark, keep_last=1) == 1 and storage.written_so_far(spark) == mark + 1
+    assert newest.count() == 2 and storage.release(spark, mark, keep_last=1) == 0
+    assert storage.release(spark, mark) == 1 and storage.written_so_far(spark) == mark
 
 
 def test_contracts(spark):
