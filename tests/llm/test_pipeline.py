@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from millwright.functions import storage
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -57,7 +60,10 @@ def test_stages(spark, tmp_path):
     packed = {r["doc_id"]: r["n"] for r in docs.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert packed == tokens
 
+    before = set(os.listdir(f"{storage.shared_dir(spark)}/millwright"))
     whole = corpus_pipeline.run(spark, str(tmp_path))
+    stay = {p.split("-")[0] for p in set(os.listdir(f"{storage.shared_dir(spark)}/millwright")) - before}
+    assert stay == {"stage", "pieces"}  # what the last stage reads and wrote; all else was removed on the way
     assert sorted(map(str, whole.collect())) == sorted(map(str, left["packing"]))
 
 
