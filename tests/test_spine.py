@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millwright.functions import storage
 from millwright.operators import features as ft
 from millwright.operators import hourly as hr
 from millwright.operators import impute as im
@@ -207,3 +208,13 @@ def test_no_leakage_between_machines_or_from_later_splits(spark):
     late = as_frame(build_gold(*sources(spark, tail_from=110)))
     early = base["window_start"] < hour(80)
     pd.testing.assert_frame_equal(base[early], late[early])
+
+
+def test_gold_writes_and_shuffles_cells_not_the_grid(spark):
+    silver = build_silver_telemetry(telemetry(spark, [(k, "A", hour(h), 50.0, 200.0, 220.0, 1500.0, 3) for k, h in enumerate((0, 2500, 9000))]))
+    _, incidents, machines, maintenance = sources(spark)
+    mark = storage.written_so_far(spark)
+    gold = build_gold(silver, incidents.limit(0), machines, maintenance.limit(0))
+    for path in storage._written[spark.sparkContext.applicationId][mark:]:
+        assert spark.read.parquet(path).count() <= 3
+    assert gold.count() == 9001
