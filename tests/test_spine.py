@@ -218,3 +218,20 @@ def test_gold_writes_and_shuffles_cells_not_the_grid(spark):
     for path in storage._written[spark.sparkContext.applicationId][mark:]:
         assert spark.read.parquet(path).count() <= 3
     assert gold.count() == 9001
+
+
+def test_grid_needs_no_join_with_its_hours(spark):
+    rows = [("A", hour(h), float(h)) for h in (0, 3, 9000)] + [("B", hour(5), 1.0), ("B", hour(5), 2.0), ("B", hour(7), 3.0), ("B", None, 4.0)]
+    hourly = spark.createDataFrame(rows, "machine_id_std string, window_start timestamp_ntz, x double")
+    grid = hr.complete_hourly_grid(hourly)
+    got = sorted(((r.machine_id_std, r.window_start, r.x) for r in grid.where("machine_id_std = 'B'").collect()), key=str)
+    assert got == [("B", hour(5), 1.0), ("B", hour(5), 2.0), ("B", hour(6), None), ("B", hour(7), 3.0)]
+    a = grid.where("machine_id_std = 'A'")
+    assert a.count() == 9001 and sorted(r.x for r in a.where("x IS NOT NULL").collect()) == [0.0, 3.0, 9000.0]
+    assert "window_start" not in "".join(line for line in grid._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_hours_of_a_grid_are_written_out_by_many_tasks(spark):
+    bounds = spark.createDataFrame([(f"m{k}", hour(0), hour(40)) for k in range(64)], "machine_id_std string, first_hour timestamp_ntz, last_hour timestamp_ntz")
+    used = hr.hourly_grid(bounds).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
