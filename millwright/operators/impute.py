@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.chunks import CHUNK_HOURS, HOUR, with_neighbours
 from millwright.functions.columns import epoch_hour
-from millwright.functions.quantiles import medians
+from millwright.functions.quantiles import SALT_TYPES, medians
 from millwright.functions.neighbours import nearest
 from millwright.functions.storage import attach_row, materialize
 from millwright.schemas import HOURLY_COLUMNS, PIECES
@@ -35,8 +35,14 @@ def interpolated(column: str, hour: Column, fallback: Column, causal: bool = Fal
 
 
 def train_medians(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
-    """Exact medians of the training rows, one row, columns named ``{column}__median``."""
-    fitted = medians(df.filter(train), columns)
+    """Exact medians of the training rows, one row, columns named ``{column}__median``.
+
+    The rows that hold a value are written once, as the quantiles read them three times; the rest of a sparse grid is
+    left behind. Times and whole numbers stay, for the salt.
+    """
+    held = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
+    other = [c for c, t in df.dtypes if c not in columns and t in SALT_TYPES]
+    fitted = medians(materialize(df.filter(train & held).select(*columns, *other[:3]), "training-rows"), columns)
     return fitted.select(*[F.col(c).alias(f"{c}__median") for c in columns])
 
 

@@ -235,3 +235,12 @@ def test_hours_of_a_grid_are_written_out_by_many_tasks(spark):
     bounds = spark.createDataFrame([(f"m{k}", hour(0), hour(40)) for k in range(64)], "machine_id_std string, first_hour timestamp_ntz, last_hour timestamp_ntz")
     used = hr.hourly_grid(bounds).select(F.spark_partition_id().alias("p")).distinct().count()
     assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_medians_read_only_training_rows_that_hold_values(spark):
+    rows = [(k, "train" if k < 60 else "test", float(k) if k % 10 == 0 else None, None) for k in range(100)]
+    grid = spark.createDataFrame(rows, "h long, split_set string, a double, b double")
+    mark = storage.written_so_far(spark)
+    found = im.train_medians(grid, ["a", "b"], F.col("split_set") == "train")
+    written = storage._written[spark.sparkContext.applicationId][mark:]
+    assert tuple(found.first()) == (25.0, None) and any(spark.read.parquet(p).count() == 6 for p in written)
