@@ -14,10 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.functions.storage import attach_row
+from millwright.functions.storage import attach_row, materialize
 
 #: Tasks that share the counting of a group.
 SALTS = 16
+#: Types of the columns that a salt may hang on.
+SALT_TYPES = ("timestamp", "timestamp_ntz", "date", "bigint", "int")
+#: Groups up to this many have their bracket ends broadcast: a row of numbers each.
+BROADCAST_GROUPS = 2000
 
 
 def row_salt(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -26,7 +30,7 @@ def row_salt(df: DataFrame, columns: Sequence[str]) -> Column:
     A sensor that reads the same all the time is spread by its timestamps. The salt hangs on nothing but the row, so a
     task that runs again deals its rows alike.
     """
-    other = [c for c, t in df.dtypes if c not in columns and t in ("timestamp", "timestamp_ntz", "date", "bigint", "int")]
+    other = [c for c, t in df.dtypes if c not in columns and t in SALT_TYPES]
     return F.pmod(F.xxhash64(*columns, *other[:3]), F.lit(SALTS))
 
 
@@ -44,6 +48,9 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by
     sketch = rows.groupBy(*by).agg(*[F.percentile_approx(c, ends, accuracy).alias(f"__{c}_ends") for c in columns])
     if not by:
         return attach_row(rows, sketch)
+    sketch = materialize(sketch, "sketch")
+    if sketch.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(sketch), by)  # few groups are hot groups: their rows stay where they are
     # the sketch goes to every part of its group, so the join is spread as the counting is
     salted = sketch.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
     return rows.join(salted, [*by, "__salt"])

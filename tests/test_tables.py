@@ -264,3 +264,12 @@ def test_upsert_keeps_the_last_incoming_row(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k int, v string, n int")
     assert sorted(map(tuple, sk.upsert(old, new, ["k"], "n").collect())) == [(1, "a"), (2, "y"), (3, "z")]
+
+
+def test_quantiles_of_few_groups_leave_their_rows_in_place(spark):
+    rows = spark.createDataFrame([(("a", "b")[k % 7 == 0], float(k * k % 1009)) for k in range(5000)], "g string, x double")
+    found = exact_quantiles(rows, ["x"], [0.25, 0.5], ["g"])
+    want = rows.groupBy("g").agg(*(F.expr(f"percentile(x, {p})") for p in (0.25, 0.5)))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__x_ends" in plan and not any("__salt" in line for line in plan.splitlines() if "Join" in line)
