@@ -18,6 +18,8 @@ PAGE_LIMIT = 500  # fixed value: largest preview page
 #: Rows of a part of a table stored for paging, about, and the folder column that holds a row's part.
 PART_ROWS = 100_000
 PART = "page_part"
+#: Where a row stands in the stored order.
+PLACE = "page_place"
 
 
 def layer_path(root: str, layer: str, table: str) -> str:
@@ -81,11 +83,19 @@ def page(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0)
 def write_pages(df: DataFrame, order: Sequence[str], path: str, part_rows: int = PART_ROWS) -> None:
     """Store a table so that any page of its order is found at once: sorted parts and an index of their running counts.
 
-    Parts are ranges of the order of about ``part_rows`` rows. The index has one row for each part.
+    Every range of the order is one task's, which cuts its sorted rows into parts of about ``part_rows``; as many ranges as the
+    session has shuffle partitions, since Spark's driver gathers a sample for each. The index has one row for each part.
     """
-    parts = max(1, -(-df.count() // part_rows))
-    ranged = df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
+    rows = df.count()
+    parts = max(1, -(-rows // part_rows))
+    ranges = max(1, min(parts // 4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = -(-rows // (parts - ranges)) if ranges > 1 else part_rows  # the end of each range is one more part
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the range's number above, the row's number in its range in the lower 33 bits
+    placed = ranged.withColumn(PLACE, F.monotonically_increasing_id())
+    in_range = F.col(PLACE).bitwiseAND((1 << 33) - 1)
+    part = F.shiftright(PLACE, 33) * (1 << 33) + F.floor(in_range / size)
+    placed.withColumn(PART, part).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
     counts = df.sparkSession.read.parquet(f"{path}/rows").groupBy(PART).agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     counts.select(PART, "rows", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("start")).write.mode("overwrite").parquet(f"{path}/index")
@@ -94,12 +104,12 @@ def write_pages(df: DataFrame, order: Sequence[str], path: str, part_rows: int =
 def stored_page(spark: SparkSession, path: str, order: Sequence[str], limit: int = 100, offset: int = 0) -> DataFrame:
     """One page of a table stored by ``write_pages``: reads the parts that hold it, at any offset.
 
-    Those are one or two, unless many rows are equal in the order; the rest of the table is not opened.
+    Rows that are equal in the order keep the places they were stored at; the rest of the table is not opened.
     """
     size, offset = min(max(int(limit), 1), PAGE_LIMIT), max(int(offset), 0)
     at = spark.read.parquet(f"{path}/index").where((F.col("start") < offset + size) & (F.col("start") + F.col("rows") > offset)).collect()
-    rows = spark.read.parquet(f"{path}/rows").where(F.col(PART).isin([r[PART] for r in at])).drop(PART)
-    return rows.orderBy(*order).offset(offset - min((r["start"] for r in at), default=offset)).limit(size)
+    rows = spark.read.parquet(f"{path}/rows").where(F.col(PART).isin([r[PART] for r in at]))
+    return rows.orderBy(PLACE).offset(offset - min((r["start"] for r in at), default=offset)).limit(size).drop(PART, PLACE)
 
 
 def stored_tables(spark: SparkSession, root: str) -> DataFrame:

@@ -158,6 +158,15 @@ def test_pages_read_few_parts(spark, tmp_path):
     assert "PartitionFilters: [" in plan and layers.PART in plan
 
 
+def test_pages_are_cut_inside_a_bounded_number_of_ranges(spark, tmp_path):
+    path, ranges = f"{tmp_path}/paged", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layers.write_pages(spark.createDataFrame([(1, k) for k in range(3000)] + [(2, k) for k in range(100)], "a long, b long"), ["a"], path, part_rows=50)
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert max(r["rows"] for r in index) <= 55 and len({r[layers.PART] >> 33 for r in index}) <= ranges
+    seen = [r["b"] for at in range(0, 3100, 310) for r in layers.stored_page(spark, path, ["a"], 310, at).collect()]
+    assert len(seen) == 3100 and sorted(seen[:3000]) == list(range(3000))  # rows equal in the order: each on one page
+
+
 @pytest.mark.parametrize("block", [64, 1 << 20])
 def test_dump_comments_hold_quotes(spark, tmp_path, block):
     text = """INSERT INTO machine (a, b) VALUES -- the operators' list
