@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from millwright.functions.chunks import (
-    CHUNK_HOURS, HOUR, block_lags, block_level, block_mean, block_std, leading_sum, over_chunks, rolling_blocks,
+    CHUNK, CHUNK_HOURS, HOUR, block_lags, block_level, block_mean, block_std, leading_sum, over_chunks, rolling_blocks,
     running_total_columns, running_totals, trailing_sum, with_neighbours,
 )
 from millwright.functions.columns import epoch_hour, safe_zscore, utilization_pct
@@ -185,13 +185,17 @@ def add_trend_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFra
 
 def add_anomaly_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     df = materialize(df, "imputed-hours")  # read by the fit and by the windows
-    baseline = df.join(train_baseline(df), "machine_id_std", "left")
+    back, size, hour = 23, F.lit(chunk_hours), epoch_hour(F.col("window_start"))
+    bounds = df.groupBy("machine_id_std").agg(F.min(hour).alias("lo"), F.max(hour).alias("hi"))
+    chunks = bounds.select("machine_id_std", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") + back) / size))).alias(CHUNK))
+    baseline = chunks.join(train_baseline(df), "machine_id_std", "left")
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.join(baseline, ["machine_id_std", CHUNK], "left")  # where the windows' shuffle has put the hours
         return rolling_blocks(rows, SIGNAL_BLOCKS, w).withColumns({**rolling_zscore_columns(), **machine_zscore_columns()})
 
     names = [f"{p}_{n}" for p in SIGNALS for n in ("zscore_24h", "zscore_machine")]
-    return _over(baseline, build, names, back=23, chunk_hours=chunk_hours).select(*df.columns, *names)
+    return _over(df, build, names, back=back, chunk_hours=chunk_hours)
 
 
 def add_production_features(df: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:

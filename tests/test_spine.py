@@ -244,3 +244,14 @@ def test_medians_read_only_training_rows_that_hold_values(spark):
     found = im.train_medians(grid, ["a", "b"], F.col("split_set") == "train")
     written = storage._written[spark.sparkContext.applicationId][mark:]
     assert tuple(found.first()) == (25.0, None) and any(spark.read.parquet(p).count() == 6 for p in written)
+
+
+def test_baseline_meets_the_hours_where_their_windows_run(spark):
+    rows = [(m, hour(h), "train" if h < 40 else "test", *[float(h % 5)] * 4) for m in "AB" for h in range(60)]
+    grid = spark.createDataFrame(rows, "machine_id_std string, window_start timestamp_ntz, split_set string, " + ", ".join(f"{p}_mean_1h double" for p in SIGNALS))
+    done = ft.add_anomaly_features(grid, chunk_hours=13)
+    whole = ft.add_anomaly_features(grid).toPandas().sort_values(["machine_id_std", "window_start"]).reset_index(drop=True)
+    got = done.toPandas().sort_values(["machine_id_std", "window_start"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, whole, rtol=1e-9, atol=1e-9)
+    exchanges = [line for line in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip(" +-:").startswith("Join")]
+    assert exchanges and any("__chunk" in line for line in exchanges)
