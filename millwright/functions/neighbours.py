@@ -1,13 +1,13 @@
-"""Exact nearest neighbours by a metric join: pivots, Voronoi cells, and distance bounds that say which cells to visit.
+"""Exact nearest neighbours by a metric join: tiles of about equally many points, and distance bounds that say which to visit.
 
-A bounded number of points are pivots; every point lies in the cell of its nearest pivot, at its radius from it. A point
-at distance d from a pivot can only have neighbours within t among that cell's points whose radius is between d - t and
-d + t, so a query visits the bands of radius that its bound t reaches, and a band joins on (cell, band). The bound is
-what k points are known to lie within: first by the triangle inequality over the pivots, then by a sample of the query's
-own cell, which is a few times the true distance at most.
+Slabs of the first feature, cut at quantiles, are cut by the next feature, and so on, until a tile holds a bounded number
+of points; features of few values come first. A query's bound is what k points are known to lie within: those of a sample
+of its own tile, or, where that is too small, of the whole table. It goes down the slabs, level by level, and visits the
+tiles whose box lies within its bound. Tiles do not grow with the table, they become more, so the bounds shrink as points
+get denser, and a query meets about as many points in a large table as in a small one.
 
 Equal points are one site with its first keys, so a point that makes up a third of the table is one row of the join.
-Large bands are split by Spark's skew join. Nothing but the pivots and counts of their cells reaches the driver.
+Large tiles are split by Spark's skew join. Nothing but a bounded sample and the number of slabs reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from millwright.functions.storage import materialize
 
-#: Pivots at most.
+#: Sites of the whole table that bound queries whose tile is too small.
 PIVOTS = 32
-#: Sites of a cell that tighten the bound of its queries, and sites of a band, about.
-SAMPLE, BAND = 256, 2048
+#: Sites of a tile that bound its queries, and sites of a tile, about.
+SAMPLE, BAND = 256, 512
+#: Parts at most that one level cuts a slab into.
+PARTS = 1024
 #: Decimals to which squared distances are compared; nearer ones are ties.
 DECIMALS = 9
 _SLACK = 2e-9
@@ -41,11 +43,36 @@ def sites(points: DataFrame, features: Sequence[str], key: str, kept: int, value
     return few.groupBy(*features).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
-def _cells(at: DataFrame, features: Sequence[str], pivots: list) -> DataFrame:
-    """``at`` with ``to``, the distances to all pivots, and the ``cell`` and ``radius`` of the nearest one."""
-    to = F.array(*(F.sqrt(squared([F.col(f) for f in features], [F.lit(float(v)) for v in p])) for p in pivots))
-    at = at.withColumn("to", to).withColumn("radius", F.array_min("to"))
-    return at.withColumn("cell", (F.array_position("to", F.col("radius")) - 1).cast("int"))
+def _cut(at: DataFrame, of: DataFrame) -> DataFrame:
+    """``at`` (tile, x) with the number of the part of its slab: the edges up to ``x``."""
+    edges = of.select(F.col("tile").alias("of_tile"), "edges")
+    part = F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("x"))), F.lit(0))
+    return at.join(edges, F.col("tile") == F.col("of_tile"), "left").withColumn("part", part).drop("of_tile", "edges")
+
+
+def _edges(located: DataFrame, names: Sequence[str]) -> list:
+    """(feature, most parts, edges by slab) of each level: where the slabs of the levels before are cut."""
+    counts = located.agg(*(F.approx_count_distinct(n).alias(n) for n in names)).first()
+    at, levels = located.withColumn("tile", F.lit(0).cast("long")), []
+    for i, name in enumerate(sorted(names, key=lambda n: (counts[n], n))):
+        parts = F.ceil(F.pow(F.col("n") / BAND, 1 / (len(names) - i)) - 1e-9).cast("int")
+        slabs = materialize(at.groupBy("tile").agg(F.count("*").alias("n")).withColumn("parts", F.least(parts, F.lit(PARTS))).where("parts > 1"), "slabs")
+        most = slabs.agg(F.max("parts")).first()[0]
+        if most is None:
+            continue
+        cuts = F.percentile_approx(name, [j / most for j in range(1, most)], max(100, 20 * most)).alias("cuts")
+        edges = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda j: F.element_at("cuts", F.greatest(F.round(j * most / F.col("parts")).cast("int"), F.lit(1))))
+        wide = slabs.select(F.col("tile").alias("of_tile"), "parts")
+        wide = at.join(wide, F.col("tile") == F.col("of_tile")).groupBy("tile", "parts").agg(cuts)
+        levels.append((name, most, materialize(wide.select("tile", F.array_distinct(edges).alias("edges")), "edges")))
+        at = _down(at, levels[-1])
+    return levels
+
+
+def _down(at: DataFrame, level: tuple) -> DataFrame:
+    """``at`` one level further down: ``tile`` is that of the part."""
+    name, most, edges = level
+    return _cut(at.withColumn("x", F.col(name)), edges).withColumn("tile", F.col("tile") * most + F.col("part")).drop("x", "part")
 
 
 def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], key: str, k: int, value: str | None = None,
@@ -59,60 +86,58 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], key:
     names = [f"f{i}" for i in range(len(features))]
     rows = points.select(*(F.col(f).cast("double").alias(n) for f, n in zip(features, names)), F.col(key).alias("key"),
                          *([F.col(value).cast("double").alias("value")] if value else []))
-    located = materialize(sites(rows, names, "key", k, "value" if value else None), "sites")
+    located = sites(rows, names, "key", k, "value" if value else None)
+    located = materialize(located.where(~F.isnan(reduce(lambda a, b: a + b, (F.col(n) for n in names)))), "sites")
     asked = queries.select(*(F.col(f).cast("double").alias(n) for f, n in zip(features, names))).distinct()
-    chosen = [list(p) for p in located.select(*names).orderBy(F.xxhash64(*names), *names).limit(pivots).collect()]
+    chosen = [list(p) for p in located.select(*names).orderBy(F.xxhash64(*names), *names).limit(max(pivots, k)).collect()]
     empty = F.lit(None)
     if not chosen:
         kind = points.schema[key].dataType
         return asked.limit(0).select(
             *(F.col(n).alias(f) for n, f in zip(names, features)), empty.cast(kind).alias("key"), empty.cast("double").alias("value"),
             empty.cast("array<double>").alias("point"), empty.cast("double").alias("squared_distance"), empty.cast("int").alias("rank"))
-    located = materialize(_cells(located, names, chosen).drop("to"), "cells")
-    by_radius = Window.partitionBy("cell").orderBy("radius")
-    kth = located.withColumn("n", F.row_number().over(by_radius)).where(F.col("n") == k).select(F.col("cell").alias("c"), F.col("radius").alias("kth"))
-    cells = located.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
-    known = {r["cell"]: r for r in cells.join(kth, F.col("cell") == F.col("c"), "left").collect()}  # one row a pivot
-
-    def per_cell(name, otherwise):
-        return F.array(*(F.lit(float(known[c][name]) if c in known and known[c][name] is not None else otherwise) for c in range(len(chosen))))
-
-    asked = _cells(asked, names, chosen)
-    reached = F.zip_with("to", per_cell("kth", float("inf")), lambda d, t: d + t)
-    asked = materialize(asked.withColumn("bound", F.array_min(reached)), "queries")
-
-    # the bound from a sample of the query's own cell
-    part = F.element_at(per_cell("n", 0.0), F.col("cell") + 1)
-    thin = located.where(F.pmod(F.xxhash64(*names), F.ceil(part / SAMPLE)) == 0).select("cell", *(F.col(n).alias(f"p{n}") for n in names))
     mine = [F.col(n) for n in names]
     theirs = [F.col(f"p{n}") for n in names]
-    first = asked.select("cell", *names).join(thin, "cell").withColumn("d2", squared(mine, theirs))
-    own = Window.partitionBy(*names).orderBy("d2")
-    tight = first.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k).groupBy(*names).agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
-    tight = tight.where(F.col("n") == k).select(*(F.col(n).alias(f"t{n}") for n in names), F.sqrt("d2").alias("tight"))
-    same = reduce(lambda a, b: a & b, (F.col(n) == F.col(f"t{n}") for n in names))
-    asked = asked.join(tight, same, "left").withColumn("bound", F.least("bound", F.coalesce("tight", F.lit(float("inf")))))
-    asked = asked.withColumn("bound", F.sqrt(F.col("bound") * F.col("bound") + _SLACK) + _SLACK)  # ties count as within
-
-    # the bands of each cell that the bound reaches
-    n_bands = F.ceil(F.col("n_cell") / BAND)
-    width = F.greatest((F.col("high") - F.col("low")) / n_bands, F.lit(1e-9))
-
-    def band(radius):
-        return F.least(F.greatest(F.floor((radius - F.col("low")) / width), F.lit(0)), n_bands - 1)
-
-    shape = F.transform(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda c: F.struct(
-        c.alias("cell"), F.element_at(per_cell("n", 0.0), c + 1).alias("n_cell"), F.element_at(per_cell("low", 0.0), c + 1).alias("low"),
-        F.element_at(per_cell("high", 0.0), c + 1).alias("high")))
-    visited = asked.select(*names, "bound", F.explode(F.arrays_zip(F.col("to").alias("to"), shape.alias("of"))).alias("x"))
-    visited = visited.select(*names, "bound", F.col("x.to").alias("away"), "x.of.*").where(
-        (F.col("n_cell") > 0) & (F.col("away") - F.col("bound") <= F.col("high")) & (F.col("away") + F.col("bound") >= F.col("low")))
-    visited = visited.withColumn("band", F.explode(F.sequence(band(F.col("away") - F.col("bound")), band(F.col("away") + F.col("bound")))))
-    stored = located.withColumn("of", F.element_at(shape, F.col("cell") + 1)).select(
-        "cell", "radius", "members", *(F.col(n).alias(f"p{n}") for n in names), "of.n_cell", "of.low", "of.high").withColumn("band", band(F.col("radius")))
-    pairs = visited.select(*names, "bound", "away", "cell", "band").join(
-        stored.select("cell", "band", "radius", "members", *(f"p{n}" for n in names)), ["cell", "band"]
-    ).where((F.abs(F.col("away") - F.col("radius")) <= F.col("bound")) & (F.sqrt(squared(mine, theirs)) <= F.col("bound")))
+    levels, top = _edges(located, names), F.lit(0).cast("long")
+    stored, asked = located.withColumn("tile", top), asked.withColumn("tile", top)
+    for level in levels:
+        stored, asked = _down(stored, level), _down(asked, level)
+    stored = materialize(stored, "tiles")
+    box = [x for n in names for x in (F.min(n).alias(f"low_{n}"), F.max(n).alias(f"high_{n}"))]
+    boxes = materialize(stored.groupBy("tile").agg(F.count("*").alias("n"), *box), "boxes")
+
+    # the bound, from a sample of the query's own tile
+    thin = stored.join(boxes.select(F.col("tile").alias("of_tile"), "n"), F.col("tile") == F.col("of_tile"))
+    thin = thin.where(F.pmod(F.xxhash64(*names), F.ceil(F.col("n") / SAMPLE)) == 0).groupBy("of_tile").agg(F.collect_list(F.array(*names)).alias("near"))
+
+    def kth(distances):
+        return F.get(F.array_sort(distances), F.lit(k - 1))
+
+    around = kth(F.transform("near", lambda p: squared(mine, [p[i] for i in range(len(names))])))
+    anywhere = kth(F.array(*(squared(mine, [F.lit(float(v)) for v in p]) for p in chosen)))
+    asked = asked.join(thin, F.col("tile") == F.col("of_tile"), "left")
+    asked = asked.withColumn("bound", F.least(F.coalesce(around, F.lit(float("inf"))), F.coalesce(anywhere, F.lit(float("inf")))))
+    asked = materialize(asked.select(*names, (F.col("bound") * (1 + 1e-12) + _SLACK).alias("bound")), "queries")  # ties count as within
+
+    # the tiles whose boxes the bound reaches: down the slabs, by the extent of each in the feature that cuts it
+    visited, below = asked.withColumn("tile", top).withColumn("gap", F.lit(0.0)), boxes.withColumn("at", F.col("tile"))
+    steps = []
+    for name, most, edges in reversed(levels):
+        up = F.floor(F.col("at") / most).cast("long")
+        steps.append((name, below.groupBy(up.alias("of_tile"), F.col("at").alias("part")).agg(F.min(f"low_{name}").alias("low"), F.max(f"high_{name}").alias("high"))
+                      .groupBy("of_tile").agg(F.collect_list(F.struct("part", "low", "high")).alias("parts"))))
+        below = below.withColumn("at", up)
+    for name, parts in reversed(steps):
+        away = F.greatest(F.col("p.low") - F.col(name), F.col(name) - F.col("p.high"), F.lit(0.0))
+        visited = visited.join(materialize(parts, "parts"), F.col("tile") == F.col("of_tile")).select(*names, "bound", "gap", F.explode("parts").alias("p"))
+        visited = visited.withColumn("gap", F.col("gap") + away * away).where(F.col("gap") <= F.col("bound")).select(*names, "bound", "gap", F.col("p.part").alias("tile"))
+    ends = boxes.withColumnRenamed("tile", "of_tile")
+    away = [F.greatest(F.col(f"low_{n}") - F.col(n), F.col(n) - F.col(f"high_{n}"), F.lit(0.0)) for n in names]
+    visited = visited.join(ends, F.col("tile") == F.col("of_tile")).where(reduce(lambda a, b: a + b, (x * x for x in away)) <= F.col("bound"))
+
+    pairs = visited.select(*names, "bound", "tile").join(
+        stored.select("tile", "members", *(F.col(n).alias(f"p{n}") for n in names)), "tile"
+    ).where(squared(mine, theirs) <= F.col("bound"))
     pairs = pairs.select(*names, F.array(*theirs).alias("point"), F.round(squared(mine, theirs), DECIMALS).alias("squared_distance"), F.explode("members").alias("m"))
     best = Window.partitionBy(*names).orderBy("squared_distance", "key")
     ranked = pairs.select(*names, "point", "squared_distance", "m.key", "m.value").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -39,6 +39,42 @@ def test_nearest_is_exact(spark, monkeypatch, sample, band, pivots):
     assert few.count() == 3 * len(set(asked)) and neighbours.nearest(queries, table.limit(0), ["x", "y", "z"], "id", 7).count() == 0
 
 
+def joined_rows(found):
+    """The most rows that a join of the plan behind ``found`` made."""
+    rows, todo = [0], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif "Join" in kind:
+            rows.append(node.metrics().get("numOutputRows").get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(rows)
+
+
+def test_queries_meet_no_more_points_in_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE", 16)
+    monkeypatch.setattr(neighbours, "BAND", 64)
+    rng, met = np.random.default_rng(8), []
+    asked = rng.random((40, 3))
+    queries = spark.createDataFrame([tuple(q) for q in asked.tolist()], "x double, y double, z double")
+    for n in (2_000, 32_000):
+        points = rng.random((n, 3))
+        table = spark.createDataFrame([(k, *p) for k, p in enumerate(points.tolist())], "id long, x double, y double, z double")
+        found = neighbours.nearest(queries, table, ["x", "y", "z"], "id", 3)
+        nearest = {}
+        for r in found.collect():
+            nearest.setdefault((r.x, r.y, r.z), []).append((r.rank, r.key))
+        for q in asked:
+            at = np.argsort(((points - q) ** 2).sum(axis=1))[:3].tolist()
+            assert [key for _, key in sorted(nearest[tuple(q.tolist())])] == at
+        met.append(joined_rows(found))
+    assert 0 < met[1] < 3 * met[0], met
+
+
 def test_knn_imputation(spark):
     rng = random.Random(4)
     data = [(k, rng.choice([None, *range(5)]), rng.random() if rng.random() < 0.9 else None, None if rng.random() < 0.3 else rng.random(), k % 4 > 0) for k in range(200)]
