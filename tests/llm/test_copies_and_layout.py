@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -303,6 +304,25 @@ def test_recall_of_edited_items(spark):
     assert len(wanted) > 200 and len(got & wanted) >= 0.9 * len(wanted) and len(got - wanted) <= 0.02 * len(got)
 
 
+def test_singular_vectors_fit_every_row(spark):
+    """Against the dense matrix of all passages: few enough words that the randomised decomposition is exact."""
+    rng = random.Random(65)
+    names = [f"word{k}" for k in range(24)]
+    texts = [" ".join(rng.choices(names, weights=range(1, 25), k=rng.choice((0, 5, 32, 70)))) for _ in range(2000)] + [None]
+    got = decontaminate.latent_terms(rows(spark, list(enumerate(texts))))
+    term = {w: int(t) for w, t in zip(names, decontaminate._terms(pa.array(names)))}
+    assert len(set(term.values())) == len(names)
+    split = [(t or "").split() for t in texts]
+    idf = np.array([np.log1p((len(texts) + 1) / (sum(w in t for t in split) + 1)) for w in names])
+    passages = [t[at:at + decontaminate.SAMPLE_WINDOW] for t in split for at in range(0, len(t), decontaminate.SAMPLE_WINDOW)]
+    matrix = np.array([[p.count(w) for w in names] for p in passages]) * idf
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    _, value, right = np.linalg.svd(matrix, full_matrices=False)
+    wanted = idf[:, None] * right.T / value
+    got = got[[term[w] for w in names]]
+    assert np.allclose(got @ got.T, wanted @ wanted.T, rtol=1e-3, atol=1e-3 * np.abs(wanted @ wanted.T).max())
+
+
 def test_sample_is_bounded_by_rows(spark):
     table = spark.createDataFrame([(1, f"text {k % 9}") for k in range(900)] + [(None, "text")] * 50, "id long, text string")
     assert decontaminate._sample(table, 950, 5).count() == 5 and decontaminate._sample(table, 950, 500).count() == 10
