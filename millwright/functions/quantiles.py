@@ -48,12 +48,18 @@ def _bracketed(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by
     sketch = rows.groupBy(*by).agg(*[F.percentile_approx(c, ends, accuracy).alias(f"__{c}_ends") for c in columns])
     if not by:
         return attach_row(rows, sketch)
-    sketch = materialize(sketch, "sketch")
-    if sketch.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(sketch), by)  # few groups are hot groups: their rows stay where they are
-    # the sketch goes to every part of its group, so the join is spread as the counting is
-    salted = sketch.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
-    return rows.join(salted, [*by, "__salt"])
+    return with_group_row(rows, sketch, by)
+
+
+def with_group_row(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows, which carry a ``__salt``, with the one row of their group."""
+    groups = materialize(groups, "groups")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), list(by))  # few groups are hot groups: their rows stay where they are
+    # a group's row goes to every part of its group, so the join is spread as the counting is; never broadcast, as Spark
+    # would judge by the stored file, which is many times smaller than the copies are in the driver's memory
+    salted = groups.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return rows.join(salted.hint("merge"), [*by, "__salt"])
 
 
 def _pick(k: Column, part: dict[str, Column]) -> Column:

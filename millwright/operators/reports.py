@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import floor_hour, is_blank
-from millwright.functions.quantiles import SALTS, exact_quantiles, row_salt
+from millwright.functions.quantiles import exact_quantiles, row_salt, with_group_row
 from millwright.functions.storage import attach_row
 from millwright.schemas import RAW_SIGNALS, TYPE_COLUMNS
 
@@ -71,8 +71,7 @@ def box_summary(telemetry: DataFrame, signals: Sequence[str] = RAW_SIGNALS, by:
     numbers = [F.col(s).cast("double").alias(s) for s in signals]
     rows = telemetry.select(by, *numbers, row_salt(telemetry, signals).alias("__salt")).filter(F.col(by).isNotNull())
     quartiles = exact_quantiles(telemetry, signals, [0.25, 0.5, 0.75], [by])
-    salted = quartiles.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
-    joined = rows.join(salted, [by, "__salt"])
+    joined = with_group_row(rows, quartiles, [by])
     partial, merged, cells = [], [], []
     for s in signals:
         x, q1, q3 = F.col(s), F.col(f"{s}_q0"), F.col(f"{s}_q2")

@@ -2,15 +2,18 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millwright.functions import columns as co
+from millwright.functions import quantiles
 from millwright.functions.quantiles import exact_quantiles
 from millwright.operators import balance as bl
 from millwright.operators import clean as cl
 from millwright.operators import contracts as ct
 from millwright.operators import outliers as ol
+from millwright.operators.reports import box_summary
 from millwright.functions import storage
 from millwright.plans.layers import finish_gold, generate_report, read_sources, run_layers
 from millwright.schemas import BRONZE_TELEMETRY, GOLD_COLUMNS, LAYER_TABLES, TYPE_COLUMNS
@@ -273,3 +276,17 @@ def test_quantiles_of_few_groups_leave_their_rows_in_place(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "__x_ends" in plan and not any("__salt" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_box_summary_of_many_groups_broadcasts_no_copies(spark, monkeypatch):
+    """A group's copies for all salts are many times what Spark's guess from the stored file says."""
+    rows = spark.range(600).selectExpr("id % 30 AS machine_id", "CAST(id * id % 97 AS DOUBLE) AS v", "id")
+    few = box_summary(rows, ["v"], "machine_id").collect()
+    monkeypatch.setattr(quantiles, "BROADCAST_GROUPS", 5)
+    many = box_summary(rows, ["v"], "machine_id")
+    joins = [line for line in many._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "__salt" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+    assert sorted(many.collect()) == sorted(few) and len(few) == 30
+    values = np.array([k * k % 97 for k in range(600) if k % 30 == 7])
+    got = next(r for r in few if r.machine_id == 7)
+    assert np.allclose((got.q1, got["median"], got.q3), np.quantile(values, [0.25, 0.5, 0.75]))
