@@ -1,6 +1,7 @@
 """Sources, sinks, contracts and preparation operators on small hand-made inputs."""
 
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -290,3 +291,13 @@ def test_box_summary_of_many_groups_broadcasts_no_copies(spark, monkeypatch):
     values = np.array([k * k % 97 for k in range(600) if k % 30 == 7])
     got = next(r for r in few if r.machine_id == 7)
     assert np.allclose((got.q1, got["median"], got.q3), np.quantile(values, [0.25, 0.5, 0.75]))
+
+
+def test_stored_gold_packs_numbers_without_dictionaries(spark, tmp_path):
+    """Numbers that differ from row to row, but repeat over neighbouring rows as rolling maxima do."""
+    rows = spark.range(40_000).selectExpr("'M' AS machine_id_std", "'train' AS split_set", "sqrt(id) AS x", "sqrt(id DIV 12) AS most", "sqrt(id DIV 6) AS more")
+    path, plain = sk.write_gold(rows.coalesce(1), str(tmp_path)), str(tmp_path / "plain")
+    rows.coalesce(1).write.partitionBy("split_set").parquet(plain)
+    size = lambda top: sum(f.stat().st_size for f in pathlib.Path(top).rglob("*.parquet"))
+    assert size(path) < 0.85 * size(plain)
+    assert spark.read.parquet(path).exceptAll(spark.read.parquet(plain)).isEmpty()
