@@ -17,7 +17,7 @@ from millwright.operators import outliers as ol
 from millwright.operators.reports import box_summary
 from millwright.functions import storage
 from millwright.plans.layers import finish_gold, generate_report, read_sources, run_layers
-from millwright.schemas import BRONZE_TELEMETRY, GOLD_COLUMNS, LAYER_TABLES, TYPE_COLUMNS
+from millwright.schemas import BRONZE_TELEMETRY, GOLD_COLUMNS, GOLD_IDS, LAYER_TABLES, TYPE_COLUMNS
 from millwright.sinks import tables as sk
 from millwright.sources import csv_files, layers, sql_dump
 
@@ -301,3 +301,21 @@ def test_stored_gold_packs_numbers_without_dictionaries(spark, tmp_path):
     size = lambda top: sum(f.stat().st_size for f in pathlib.Path(top).rglob("*.parquet"))
     assert size(path) < 0.85 * size(plain)
     assert spark.read.parquet(path).exceptAll(spark.read.parquet(plain)).isEmpty()
+
+
+def test_packed_keys_are_looked_at_one_by_one_only_where_they_differ(spark):
+    schemas = tuple(spark.range(0).selectExpr(f"id AS {a}", f"id AS {b}").schema for a, b in ("xy", "vw"))
+    ids = {c: "CAST(NULL AS STRING)" for c in GOLD_IDS}
+
+    def unpacked(features):
+        row = spark.range(1).selectExpr(*(f"{v} AS {c}" for c, v in ids.items()), f"{features} AS features", "'{\"v\":1,\"w\":2}' AS labels")
+        return sk.unpack_gold(row, schemas)
+
+    for text, want in (('{"x":1,"y":2}', (1, 2, 1, 2)), ('{"y":2,"x":1}', (1, 2, 1, 2)), ('{"x":1}', (1, None, 1, 2))):
+        assert tuple(unpacked(f"'{text}'").first())[len(GOLD_IDS):] == want
+    assert tuple(unpacked("CAST(NULL AS STRING)").first())[len(GOLD_IDS):] == (None, None, 1, 2)
+    for text in ('{"x":1,"z":2}', '{"x":1,"y":2,"z":3}'):
+        with pytest.raises(Exception, match="other columns: z"):
+            unpacked(f"'{text}'").collect()
+    packed = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*GOLD_IDS, "features", "labels"]))
+    assert "NOT (json_object_keys(features" in sk.unpack_gold(packed, schemas)._jdf.queryExecution().analyzed().toString()
