@@ -309,7 +309,7 @@ def test_singular_vectors_fit_every_row(spark):
     rng = random.Random(65)
     names = [f"word{k}" for k in range(24)]
     texts = [" ".join(rng.choices(names, weights=range(1, 25), k=rng.choice((0, 5, 32, 70)))) for _ in range(2000)] + [None]
-    got = decontaminate.latent_terms(rows(spark, list(enumerate(texts))))
+    got = decontaminate.latent_terms(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
     term = {w: int(t) for w, t in zip(names, decontaminate._terms(pa.array(names)))}
     assert len(set(term.values())) == len(names)
     split = [(t or "").split() for t in texts]
